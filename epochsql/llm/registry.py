@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .media import op4_media_columns
 from .mixing import OP7_SQL, op7_mix_sources
 from .sharding import op9_stratified_shards
 
-QUERIES = {f.__name__: f for f in (op7_mix_sources, op9_stratified_shards)}
+QUERIES = {f.__name__: f for f in (op4_media_columns, op7_mix_sources, op9_stratified_shards)}
 ORACLES = {"op7_mix_sources": OP7_SQL}
