@@ -10,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of letters and digits: those of ASCII, and all of multi-byte characters.
+LETTER_OR_DIGIT = np.zeros(256, bool)
+LETTER_OR_DIGIT[48:58] = LETTER_OR_DIGIT[65:91] = LETTER_OR_DIGIT[97:123] = LETTER_OR_DIGIT[128:] = True
 CHUNK_BYTES = 1 << 20
 
 
@@ -32,8 +36,8 @@ class Lane:
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.bytes = rng.integers(0, 1 << 64, 256, dtype=np.uint64) | _U(1)
-        self.base = int(rng.integers(0, 1 << 62)) * 8 + 5
-        self.word_base = int(rng.integers(0, 1 << 62)) * 8 + 3
+        self.base = int(rng.integers(0, 1 << 61)) * 8 + 5
+        self.word_base = int(rng.integers(0, 1 << 61)) * 8 + 3
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +46,7 @@ class Lane:
             size = max(n, CHUNK_BYTES + 1)
             both = []
             for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(size, b, _U)
+                p = np.full(size, _U(b), _U)
                 p[0] = 1
                 both.append(np.multiply.accumulate(p))
             have = self.tables[base] = (both[0], both[1])
