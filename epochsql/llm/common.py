@@ -40,11 +40,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """df as a table of its own; the same plan is never run twice. ``.path`` tells where it lies."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.path = path
         return out
