@@ -58,7 +58,7 @@ class Scratch:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a frame's size, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def n_words(text: Column) -> Column:
