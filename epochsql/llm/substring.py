@@ -123,39 +123,63 @@ def _unpack(blob) -> tuple[np.ndarray, ...]:
 
 
 def repeated(blobs: DataFrame, buckets: int) -> DataFrame:
-    """k and packed places (4 bytes each, then a byte of length each) of all items whose hash occurs elsewhere too."""
+    """k and packed places (4 bytes each, then a byte of length each) of all items whose hash occurs elsewhere too.
 
-    def run(batches):
+    A row per document: verdicts travel back in packs for groups of documents and are put together there.
+    """
+
+    def judge(batches):
         each = [_unpack(x.as_buffer()) for b in batches for x in b.column(0)]
         if not each:
             return
         unknown = np.concatenate([x[0] for x in each])
         values, back, times = np.unique(unknown, return_inverse=True, return_counts=True)
         witness = np.unique(np.concatenate([x[1] for x in each]))
-        yes = (times > 1) | np.isin(values, witness, assume_unique=True)
-        verdict, at = yes[back], 0
-        for h, _, n, place, length, key in each:
-            good = np.ones(len(place), bool)
-            good[:n] = verdict[at : at + len(h)]
+        verdict, at = ((times > 1) | np.isin(values, witness, assume_unique=True))[back], 0
+        good = []
+        for h, _, n, place, *_ in each:
+            good.append(np.ones(len(place), bool))
+            good[-1][:n] = verdict[at : at + len(h)]
             at += len(h)
-            key, place, length = key[good], place[good], length[good]
-            order = np.argsort(key, kind="stable")
-            key, place, length = key[order], place[order], length[order]
-            cut = np.append(np.flatnonzero(np.diff(key, prepend=key[0] + 1)), len(key)) if len(key) else [0]
-            for a in range(0, len(cut) - 1, 4096):
-                c = cut[a : a + 4097]
-                packed = [place[i:j].tobytes() + length[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[c[:-1]]), pa.array(packed, pa.binary())], names=["k", "places"])
+        key, place, length = (np.concatenate([x[i][g] for x, g in zip(each, good, strict=True)]) for i in (5, 3, 4))
+        group = key.astype(np.uint64) % np.uint64(buckets)
+        order = np.lexsort((key, group))
+        key, place, length, group = key[order], place[order], length[order], group[order]
+        cut = np.append(np.flatnonzero(np.diff(group, prepend=group[0] + np.uint64(1))), len(group)) if len(group) else np.zeros(1, np.int64)
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            first = np.flatnonzero(np.diff(key[i:j], prepend=key[i] + 1))
+            runs = np.diff(np.append(first, j - i)).astype(np.uint32)
+            pack = b"".join([struct.pack("<2q", len(first), j - i), key[i:j][first].tobytes(), runs.tobytes(), place[i:j].tobytes(), length[i:j].tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array([int(group[i])], pa.int32()), pa.array([pack], pa.binary())], names=["bucket", "blob"])
+
+    def gather(batches):
+        parts = []
+        for b in batches:
+            for x in b.column(0):
+                blob = x.as_buffer()
+                m, n = struct.unpack_from("<2q", blob)
+                keys, runs = np.frombuffer(blob, np.int64, m, 16), np.frombuffer(blob, np.uint32, m, 16 + 8 * m)
+                parts.append((np.repeat(keys, runs), np.frombuffer(blob, np.uint32, n, 16 + 12 * m), np.frombuffer(blob, np.uint8, n, 16 + 12 * m + 4 * n)))
+        if not parts:
+            return
+        key, place, length = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, place, length = key[order], place[order], length[order]
+        cut = np.append(np.flatnonzero(np.diff(key, prepend=key[0] + 1)), len(key))
+        for a in range(0, len(cut) - 1, 2048):
+            c = cut[a : a + 2049]
+            packed = [place[i:j].tobytes() + length[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[c[:-1]]), pa.array(packed, pa.binary())], names=["k", "places"])
 
-    return blobs.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, "k long, places binary")
+    judged = blobs.repartitionById(buckets, "bucket").select("blob").mapInArrow(judge, "bucket int, blob binary")
+    return judged.repartitionById(buckets, "bucket").select("blob").mapInArrow(gather, "k long, places binary")
 
 
-def _places(packed: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct places and their lengths."""
-    where = [np.frombuffer(x, np.uint32, len(x) // 5) for x in packed]
-    long = [np.frombuffer(x, np.uint8, len(x) // 5, len(x) // 5 * 4) for x in packed]
-    where, at = np.unique(np.concatenate(where), return_index=True)
-    return where.astype(np.int64), np.concatenate(long)[at].astype(np.int64)
+def _places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct places and their lengths (repeated rows have sent theirs each)."""
+    n = len(packed) // 5
+    where, at = np.unique(np.frombuffer(packed, np.uint32, n), return_index=True)
+    return where.astype(np.int64), np.frombuffer(packed, np.uint8, n, 4 * n)[at].astype(np.int64)
 
 
 def _expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -194,8 +218,7 @@ def _window_blobs(texts: DataFrame, runs: DataFrame, buckets: int) -> DataFrame:
                 yield from out.add(keys[lo:hi], doc, g[w.first[doc] + place], place, np.ones(len(place)))
         yield from out.flush()
 
-    both = texts.join(runs.groupBy("k").agg(F.collect_list("places").alias("runs")), "k")
-    return both.select("k", "text", "runs").mapInArrow(run, "bucket int, blob binary")
+    return texts.join(runs, "k").select("k", "text", "places").mapInArrow(run, "bucket int, blob binary")
 
 
 def strip_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -209,7 +232,7 @@ def strip_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("k"))
     runs = repeated(_anchor_blobs(texts, buckets), buckets)
-    found = repeated(_window_blobs(texts, runs, buckets), buckets).groupBy("k").agg(F.collect_list("places").alias("places"))
+    found = repeated(_window_blobs(texts, runs, buckets), buckets)
 
     def run(batches):
         for b in batches:
