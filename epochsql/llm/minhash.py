@@ -182,27 +182,34 @@ def agreeing(edges: DataFrame, signs: DataFrame, threshold: tuple[int, int] = TH
 
 
 def between_components(mates: DataFrame, comp: DataFrame, signs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures agree enough. They may repeat."""
+    """Pairs (a, b) of different components that share a bucket and whose signatures agree enough.
+
+    A pair is looked at in the first bucket that it shares; if that bucket's star had one of them as its centre, it has
+    been tested there.
+    """
     part, whole = threshold
     now = mates.select("bucket", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     parts = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     open_ = parts.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m")
     left = now.join(open_.select("bucket", F.col("top.comp").alias("main"), "m"), "bucket").join(signs, "cls")
     left = left.withColumn("outside", F.col("comp") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("cls"), F.expr(f"m div {BLOCK} + 1")))
-    packed = left.groupBy("bucket", "outside", "block").agg(F.collect_list(F.struct("cls", "n", "comp", "signature")).alias("x"))
-    here = packed.select("bucket", "x.cls", "x.n", "x.comp", "x.signature")
-    there = packed.where("outside").select("bucket", F.col("x.cls").alias("cls_b"), F.col("x.n").alias("n_b"), F.col("x.comp").alias("comp_b"), F.col("x.signature").alias("signature_b"))
+    packed = left.groupBy("bucket", "outside", "block").agg(F.collect_list(F.struct("cls", "n", "comp", "signature", "bands")).alias("x"))
+    here = packed.select("bucket", "x.cls", "x.n", "x.comp", "x.signature", "x.bands")
+    there = packed.where("outside").select("bucket", F.col("x.cls").alias("cls_b"), F.col("x.n").alias("n_b"), F.col("x.comp").alias("comp_b"), F.col("x.signature").alias("signature_b"), F.col("x.bands").alias("bands_b"))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                cls, n, comp, cls_b, n_b, comp_b = (np.asarray(b.column(j)[i].values) for j in (0, 1, 2, 4, 5, 6))
-                sig, sig_b = (np.frombuffer(b"".join(b.column(j)[i].as_py()), np.uint8).reshape(-1, FINE) for j in (3, 7))
+                cls, n, comp, cls_b, n_b, comp_b = (np.asarray(b.column(j)[i].values) for j in (0, 1, 2, 5, 6, 7))
+                sig, sig_b = (np.frombuffer(b"".join(b.column(j)[i].as_py()), np.uint8).reshape(-1, FINE) for j in (3, 8))
+                bands, bands_b = (np.asarray(b.column(j)[i].values.flatten()).reshape(-1, BANDS) for j in (4, 9))
+                band = int(np.flatnonzero(bands[0] == b.column(10)[i].as_py())[0])
                 out_a, out_b = [], []
                 for k in range(len(cls_b)):
                     small, large = np.minimum(n, n_b[k]), np.maximum(n, n_b[k])
                     ok = (comp != comp_b[k]) & (whole * small >= part * large)
                     at = np.flatnonzero(ok)
+                    at = at[~(bands[at, :band] == bands_b[k, :band]).any(1)]
                     at = at[may_link(sig[at], sig_b[k], n[at] + n_b[k], threshold)]
                     out_a.append(np.minimum(cls[at], cls_b[k]))
                     out_b.append(np.maximum(cls[at], cls_b[k]))
@@ -210,7 +217,7 @@ def between_components(mates: DataFrame, comp: DataFrame, signs: DataFrame, thre
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     both = here.join(there, "bucket")
-    return both.select("cls", "n", "comp", "signature", "cls_b", "n_b", "comp_b", "signature_b").mapInArrow(run, "a long, b long")
+    return both.select("cls", "n", "comp", "signature", "bands", "cls_b", "n_b", "comp_b", "signature_b", "bands_b", "bucket").mapInArrow(run, "a long, b long")
 
 
 def confirm(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -263,15 +270,17 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     """
     scratch = Scratch(spark, "near")
     base = scratch.write(sketch(docs), "sketch")
-    classes = scratch.write(base.where("cls is not null").groupBy("cls", "n", "bands", "signature").agg(F.min("doc_id").alias("rep")), "classes")
-    buckets = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    mates = scratch.write(buckets.join(sizes, "bucket").distinct(), "mates")
+    buckets = base.select("cls", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bucket")
+    mates = scratch.write(buckets.join(shared, "bucket", "left_semi").distinct(), "mates")
+    sizes = mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    mates = mates.join(sizes, "bucket")
     score = mates.groupBy("cls").agg(F.sum("size").alias("score"))
     mates = scratch.write(mates.join(score, "cls").drop("size"), "scored")
-    need = classes.join(mates.select("cls").distinct(), "cls", "left_semi")
-    signs = need.select("cls", "n", "signature")
-    sets = scratch.write(_sets(docs, need.select("cls", "rep")), "sets")
+    need = scratch.write(score.select("cls"), "need")
+    signs = scratch.write(base.select("cls", "n", "signature", "bands").join(need, "cls", "left_semi").dropDuplicates(["cls"]), "signs")
+    reps = base.select("cls", "doc_id").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    sets = scratch.write(_sets(docs, reps), "sets")
     centre = mates.groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("c")).select("bucket", F.col("c.cls").alias("b"), F.col("c.n").alias("n_b"))
     pairs = mates.withColumnRenamed("cls", "a").join(centre, "bucket")
     left = mates.join(centre.select("bucket", F.col("b").alias("cls")), ["bucket", "cls"], "left_anti")
@@ -282,7 +291,7 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     rest = scratch.write(between_components(left, comp, signs, threshold).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(scratch.write(confirm(rest, sets, threshold), "links"))
     comp = scratch.write(components(scratch, links), "components")
-    scratch.drop(sets, mates)
+    scratch.drop(sets, mates, signs)
     rows = base.select("doc_id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("cls", F.coalesce("comp", "cls"))
     lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"))
     rows = rows.join(lowest, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("lowest")))

@@ -21,6 +21,7 @@ LOWER[65:91] += 32
 LETTER_OR_DIGIT = np.zeros(256, bool)
 LETTER_OR_DIGIT[48:58] = LETTER_OR_DIGIT[65:91] = LETTER_OR_DIGIT[97:123] = LETTER_OR_DIGIT[128:] = True
 CHUNK_BYTES = 1 << 20
+CHUNK_DOCS = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,12 +107,13 @@ def string_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(edges: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``most`` bytes; a longer document stands alone."""
+    """Ranges of documents of about ``most`` bytes and at most CHUNK_DOCS documents; a longer document stands alone."""
     at, n = 0, len(edges) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, "right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
+        to = min(to, n, at + CHUNK_DOCS)
+        yield at, to
+        at = to
 
 
 def word_chunks(col: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
