@@ -14,7 +14,9 @@ line number). All steps are DataFrame functions:
    as a star, and lines that are removed by that are settled. Only classes that no star settles are compared with all of
    their lists. So a line of a group of near copies costs a pair for each of its shared prefix words, not one for each
    other line of the group.
-5. Candidates are verified on the full sets, which are made for them alone.
+5. Candidates are verified on the full sets, which are made for them alone. Their lines are fetched by a join; a bitmap
+   of fixed size, made of the wanted lines, keeps most others from being moved. Where there are too many for it, it only
+   lets more pass.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .common import Scratch, table
 
 THRESHOLD = (90, 100)
 RARITY = 1 << 16
+BITMAP = 1 << 16  # longs
 _BREAKS = r"[\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
 
@@ -40,10 +43,10 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """For each of RARITY buckets of word hashes, how often words of it occur, as half powers of two: an array literal."""
-    words = lines.select(F.explode(_hashes(F.col("line"))).alias("h"))
-    counts = words.groupBy(F.pmod("h", F.lit(RARITY)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def rarity(docs: DataFrame) -> Column:
+    """For each of RARITY buckets of word hashes, how often words of it occur in all texts, as half powers of two: an array literal."""
+    words = docs.select(F.explode(F.split("text", _BREAKS)).alias("w")).select(F.xxhash64("w").alias("h"))
+    counts = words.groupBy(F.col("h").bitwiseAND(RARITY - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     ranks = counts.select("b", F.least(F.lit(62), F.floor(2 * F.log2("n"))).cast("int").alias("r")).collect()  # RARITY rows at most
     table_ = [0] * RARITY
     for b, r in ranks:
@@ -53,8 +56,9 @@ def rarity(lines: DataFrame) -> Column:
 
 def _keys(line: Column, ranks: Column) -> Column:
     """The line's words, rarest first, as numbers."""
-    rank = lambda h: F.element_at(ranks, (F.pmod(h, F.lit(RARITY)) + 1).cast("int"))
-    return F.array_sort(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    # sort_array sorts longs as such; array_sort would call a comparator expression for each two words
+    rank = lambda h: F.coalesce(ranks[h.bitwiseAND(RARITY - 1).cast("int")], F.lit(0))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def _enough(n_a: str, n_b: str, at_a: str, at_b: str, threshold: tuple[int, int]) -> Column:
@@ -70,18 +74,18 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, i
     t, whole = threshold
     scratch = Scratch(spark, "lines")
     lines = split_lines(docs)
-    ranks = rarity(lines)
+    ranks = rarity(docs)
     size = F.size("keys")
     prefix = F.slice("keys", 1, (size - F.ceil(size * t / whole) + 1).cast("int"))
     keyed = lines.select("doc", "line_no", _keys(F.col("line"), ranks).alias("keys")).where(size > 0)
-    known = scratch.write(keyed.select("doc", "line_no", F.xxhash64("keys").alias("cls"), size.alias("n"), prefix.alias("prefix")), "lines", compression="zstd")
-    firsts = known.groupBy("cls").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    firsts = scratch.write(firsts.select("cls", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")), "firsts")
-    classes = scratch.write(known.join(firsts, ["cls", "doc", "line_no"], "left_semi").dropDuplicates(["cls"]), "classes", compression="zstd")
+    known = scratch.write(keyed.select("doc", "line_no", F.xxhash64("keys").alias("cls"), size.alias("n"), prefix.alias("prefix")), "lines")
+    first = F.min(F.struct("doc", "line_no", "n", "prefix")).alias("first")
+    classes = scratch.write(known.groupBy("cls").agg(first).select("cls", "first.*"), "classes")
+    firsts = classes.select("cls", "doc", "line_no")
     lists = classes.select("cls", "doc", "n", F.posexplode("prefix").alias("at", "word"))
     words = scratch.write(lists.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("word"), "words")
-    lists = scratch.write(lists.join(words, "word", "left_semi"), "lists", compression="zstd")
-    scratch.drop(classes, words)
+    lists = scratch.write(lists.join(words, "word", "left_semi"), "lists")
+    scratch.drop(words)
     heads = lists.groupBy("word").agg(F.min(F.struct("doc", "cls", "n", "at")).alias("h"))
     heads = heads.select("word", F.col("h.cls").alias("a"), F.col("h.n").alias("n_a"), F.col("h.at").alias("at_a"))
     near = lists.join(heads, "word").where("cls != a").where(_enough("n_a", "n", "at_a", "at", threshold))
@@ -98,12 +102,27 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, i
     return known.select("doc", "line_no").join(stay.select("doc", "line_no"), ["doc", "line_no"], "left_anti")
 
 
+def _bitmap(where: DataFrame) -> Column:
+    """The set of lines as an array literal of BITMAP longs, a bit for each hash value."""
+    h = F.xxhash64("doc", "line_no")
+    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int").alias("at"), F.expr("shiftleft(1L, cast(xxhash64(doc, line_no) & 63 as int))").alias("bit"))
+    longs = [0] * BITMAP
+    for at, word in bits.groupBy("at").agg(F.bit_or("bit")).collect():  # BITMAP rows at most
+        longs[at] = word
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+
+def _in_bitmap(bits: Column, h: Column) -> Column:
+    word = bits[F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int")]
+    return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
+
+
 def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """cls of the later class of each pair (a, b) whose full sets are similar enough."""
     t, whole = threshold
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    where = firsts.join(need, "cls", "left_semi")
-    sets = scratch.write(lines.join(where, ["doc", "line_no"]).select("cls", "doc", "line_no", _keys(F.col("line"), ranks).alias("keys")), "sets")
+    where = scratch.write(firsts.join(need, "cls", "left_semi"), "where")
+    sets = scratch.write(lines.where(_in_bitmap(_bitmap(where), F.xxhash64("doc", "line_no"))).join(where, ["doc", "line_no"]).select("cls", "doc", "line_no", _keys(F.col("line"), ranks).alias("keys")), "sets")
     side = lambda c: sets.select(F.col("cls").alias(c), F.struct("doc", "line_no").alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
@@ -111,21 +130,27 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column,
     return alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """A row per document: doc_id, n_lines, n_removed, kept_text (kept lines joined by line feeds).
+def line_dedup(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """A row per document: doc_id, n_lines, n_removed and the numbers of the removed lines (from 0), in order.
 
-    Null texts count as empty. Lines without words stay, and so do those of empty documents. Documents with null ids are
-    later than all others and count as one document each among themselves only by line number. Repeated rows have one id
-    and are treated alike: their lines don't remove each other. Other columns are ignored; an empty table gives no rows.
+    Null texts count as empty (one blank line). Lines without words stay. Documents with null ids are later than all
+    others and, among themselves, told apart by line numbers alone. Repeated rows have one id and are treated alike:
+    their lines don't remove each other. Other columns are ignored; an empty table gives no rows.
     """
-    gone = repeated_lines(spark, docs, threshold).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
-    rows = rows.join(gone, "doc", "left").withColumn("__lines", F.split("__text", "\n"))
-    removed = F.coalesce(F.size("__gone"), F.lit(0))
-    kept = F.when(removed == 0, F.col("__text")).otherwise(F.concat_ws("\n", F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i))))
-    return rows.select("doc_id", F.size("__lines").alias("n_lines"), F.greatest(removed, F.lit(0)).alias("n_removed"), kept.alias("kept_text"))
+    gone = repeated_lines(spark, docs, threshold).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select("doc_id", (F.coalesce(breaks, F.lit(0)) + 1).cast("int").alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.join(gone, "doc", "left").select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
+
+
+def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``docs`` with all columns and the lines that ``line_dedup`` found taken out of the texts; null texts stay null."""
+    lines = removed.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__removed")).dropDuplicates(["__id"])
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    both = docs.join(lines, docs["doc_id"].eqNullSafe(lines["__id"]), "left")
+    return both.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return line_dedup(spark, table(spark, sf_dir, "documents"))
