@@ -56,6 +56,10 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: From here on an estimate means that Spark doesn't know.
+UNKNOWN_BYTES = 1 << 55
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a frame's size, from file sizes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -36,6 +36,11 @@ BLOCK_ITEMS = 20_000
 MARGIN = 1e-4
 
 
+def folded(text: pa.Array) -> pa.Array:
+    """Lower case; the sharp s as ss, which is what capitals make of it."""
+    return pa.compute.replace_substring(pa.compute.utf8_lower(text), "\u00df", "ss")
+
+
 def bare_words(buf: np.ndarray, edges: np.ndarray) -> Words:
     """Runs of letters and digits of lower-cased texts."""
     return Words(np.where(LETTER_OR_DIGIT[buf], buf, np.uint8(32)), edges)
@@ -47,7 +52,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], share: float = SHARE, lane_seed: int = 101):
         self.lane = Lane(lane_seed)
         self.ids = np.array([i for i, _ in items], np.int64)
-        col = pa.compute.utf8_lower(pa.array([t for _, t in items], pa.large_string()))
+        col = folded(pa.array([t for _, t in items], pa.large_string()))
         buf, edges = string_column(col)
         w = bare_words(buf, edges)
         h = self.lane.words(w.buf, w.start, w.end)
@@ -175,7 +180,7 @@ def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[li
 
 def found_in(index: Index, text: pa.Array, overlap: float = OVERLAP) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item id, score, question overlap, answer overlap) of all contaminated pairs of a column of texts."""
-    buf, edges = string_column(pa.compute.utf8_lower(text))
+    buf, edges = string_column(folded(text))
     for a, b in chunks(edges, CHUNK_BYTES // 2):
         w = bare_words(buf[edges[a] : edges[b]], edges[a : b + 1] - edges[a])
         for d, i, s, q, r in index.matches(w, index.lane.words(w.buf, w.start, w.end)):

@@ -299,9 +299,12 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, but those whose component another document stands for."""
+    """The rows of ``docs``, with all columns, but those whose component another document stands for.
+
+    Rows without an id can't be told apart and stay.
+    """
     gone = near_components(spark, docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

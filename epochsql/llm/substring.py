@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, table
+from .common import UNKNOWN_BYTES, input_bytes, table
 from .textkit import Lane, Words, word_chunks
 
 WINDOW = 35
@@ -228,7 +228,9 @@ def strip_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     Null, empty and short texts keep all their words; repeated rows repeat each other's windows; ids may be null; an
     empty table gives no rows; other columns are ignored.
     """
-    buckets = min(MAX_BUCKETS, max(8, -(-input_bytes(docs) // BUCKET_BYTES)))
+    size = input_bytes(docs)
+    # frames that aren't files have no size that Spark knows of
+    buckets = min(MAX_BUCKETS, max(8, -(-size // BUCKET_BYTES))) if size < UNKNOWN_BYTES else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.col("doc_id").cast("long")
     texts = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("k"))
     runs = repeated(_anchor_blobs(texts, buckets), buckets)
