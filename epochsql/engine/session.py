@@ -157,12 +157,12 @@ class Session:
         if any(n for s in changes.values() for _, n, _ in s):
             self.db.publish({t: s for t, s in changes.items() if sum(n for _, n, _ in s)}, started)
 
-    def _write(self, work: list[tuple[str, DataFrame, bool]]) -> list[int]:
+    def _write(self, work: list[tuple[str, DataFrame, bool]], records: int | None = None) -> list[int]:
         """Stages changes of tables in order; commits them unless a transaction is open. Returns the record counts."""
         txn = self.txn or Transaction(self.db.head(), 0)
         counts = []
         for table, changes, only_inserts in work:
-            path, n = self.db.stage(table, changes)
+            path, n = self.db.stage(table, changes, records)
             txn.changes.setdefault(table, []).append((path, n, only_inserts))
             counts.append(n)
         if self.txn is None:
@@ -248,7 +248,7 @@ class Session:
                     raise ExecutionError("Column count mismatch")
                 given = {c: self._value(by_name[c], v.value) for c, v in zip(columns, r, strict=True)}
                 rows.append(tuple(given.get(c) for c in meta.names))
-            new = self.spark.createDataFrame(rows, meta.row_type)
+            new = self.spark.createDataFrame(rows, meta.row_type).coalesce(1)
         defaults = {c["name"]: F.lit(self._value(c, c["default"])).cast(meta.row_type[c["name"]].dataType) for c in meta.columns if c["default"] is not None and c["name"] not in columns}
         new = C.fill_defaults(new, defaults) if defaults else new
         for c in meta.columns:
@@ -268,7 +268,7 @@ class Session:
         self._check(meta, new)
         row = F.struct(*meta.names)
         rid = F.xxhash64(F.expr("uuid()"), F.lit(random.getrandbits(62)))
-        (n,) = self._write([(s.table, new.select(rid.alias("_rid"), F.lit("I").alias("_op"), row.alias("row"), F.lit(None).cast(meta.row_type).alias("pre")), True)])
+        (n,) = self._write([(s.table, new.select(rid.alias("_rid"), F.lit("I").alias("_op"), row.alias("row"), F.lit(None).cast(meta.row_type).alias("pre")), True)], len(s.rows) if s.select is None else None)
         return Result(message=f"INSERT {n}")
 
     def _matching(self, table: str, where) -> DataFrame:

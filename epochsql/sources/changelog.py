@@ -128,14 +128,14 @@ class Database:
                 if "AlreadyExists" not in str(e) and "already exists" not in str(e):
                     raise
 
-    def stage(self, table: str, changes: DataFrame) -> tuple[str, int]:
-        """Writes (_rid, _op, row, pre) as a change file; returns its path and number of records."""
+    def stage(self, table: str, changes: DataFrame, records: int | None = None) -> tuple[str, int]:
+        """Writes (_rid, _op, row, pre) as a change file; returns its path and number of records (counted unless known)."""
         path = f"{self.path}/data/{table}/{uuid.uuid4().hex}"
         meta = self.meta(table)
         seq = F.lit(self.tick()).cast("long")
         out = changes.select("_rid", seq.alias("_seq"), "_op", F.col("row").cast(meta.row_type).alias("row"), F.col("pre").cast(meta.row_type).alias("pre"))
         out.write.parquet(path)
-        return path, self.spark.read.schema(meta.log_type).parquet(path).count()
+        return path, self.spark.read.schema(meta.log_type).parquet(path).count() if records is None else records
 
     # -- reading
 
