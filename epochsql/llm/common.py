@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch between the JVM and Python at most: documents may be long, and a batch is held several times over.
+BATCH_ROWS = 2000
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS at most; at a task's end its worker gives its free memory back.
+
+    The size of batches is a setting of the session; a lower one stays as it is.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def then_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(then_trim, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +61,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that lineage is cut and survives a lost executor."""
+    """Tables written to the shared folder, so that lineage is cut and survives a lost executor.
+
+    Those that a returned frame still reads stay in that folder, which is for passing data: clear it by age.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
@@ -49,6 +80,11 @@ class Scratch:
         out.path = path
         return out
 
+    def drop_all(self) -> None:
+        """Everything written here. Call it once no frame made from these tables is read any more."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for x in tables:

@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 from .textkit import CHUNK_BYTES, LETTER_OR_DIGIT, Lane, Words, chunks, string_column
 
 K1, B = 1.2, 0.75
@@ -205,7 +205,7 @@ def leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, block_ite
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+        found = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -223,7 +223,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, bl
                     bad[d] = True
                 yield b.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import table
+from .common import map_arrow, table
 
 UNIT = 64
 BATCH_BYTES = 8 << 20
@@ -47,7 +47,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
         return _batches(rows(), schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_rgb(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -66,7 +66,7 @@ def decode_rgb(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
         return _batches(rows(), schema)
 
-    return media.select(F.col(id_col).cast("long"), "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return map_arrow(media.select(F.col(id_col).cast("long"), "media"), run, "doc_id long, height int, width int, rgb binary")
 
 
 def digest(media: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def digest(media: DataFrame) -> DataFrame:
 
         return _batches(rows(), schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, map_arrow, table
 from .textkit import Lane, Words, mix, word_chunks
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()), mask=none)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(cls.view(np.int64), mask=~some), lists, pa.array([fine[i : i + FINE] for i in range(0, len(fine), FINE)], pa.binary())], names=["doc_id", "n", "cls", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, bands array<long>, signature binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, cls long, bands array<long>, signature binary")
 
 
 def _classes(sets: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def _sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), F.col("text").cast("string"))
     reps = need.select(F.coalesce("rep", F.lit(-1)).alias("__id")).distinct()
-    found = texts.join(reps, "__id", "left_semi").select("text").mapInArrow(run, "cls long, hashes binary")
+    found = map_arrow(texts.join(reps, "__id", "left_semi").select("text"), run, "cls long, hashes binary")
     return found.join(need.select("cls"), "cls", "left_semi")
 
 
@@ -178,7 +178,7 @@ def agreeing(edges: DataFrame, signs: DataFrame, threshold: tuple[int, int] = TH
 
     joined = edges.join(signs.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("signature").alias("y")), "b")
     joined = joined.join(signs.select(F.col("cls").alias("a"), "n", F.col("signature").alias("x")), "a")
-    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return map_arrow(joined.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
 def between_components(mates: DataFrame, comp: DataFrame, signs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -217,7 +217,7 @@ def between_components(mates: DataFrame, comp: DataFrame, signs: DataFrame, thre
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     both = here.join(there, "bucket")
-    return both.select("cls", "n", "comp", "signature", "bands", "cls_b", "n_b", "comp_b", "signature_b", "bands_b", "bucket").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("cls", "n", "comp", "signature", "bands", "cls_b", "n_b", "comp_b", "signature_b", "bands_b", "bucket"), run, "a long, b long")
 
 
 def confirm(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -235,7 +235,7 @@ def confirm(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRE
 
     joined = edges.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
     joined = joined.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -269,8 +269,9 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     kept or not together. Null ids never name a component unless all ids in it are null. Other columns are ignored.
     """
     scratch = Scratch(spark, "near")
-    base = scratch.write(sketch(docs), "sketch")
-    buckets = base.select("cls", "n", F.explode("bands").alias("bucket"))
+    wide = scratch.write(sketch(docs), "sketch")
+    base = scratch.write(wide.select("doc_id", "n", "cls"), "sets")
+    buckets = wide.select("cls", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bucket")
     mates = scratch.write(buckets.join(shared, "bucket", "left_semi").distinct(), "mates")
     sizes = mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
@@ -278,7 +279,8 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     score = mates.groupBy("cls").agg(F.sum("size").alias("score"))
     mates = scratch.write(mates.join(score, "cls").drop("size"), "scored")
     need = scratch.write(score.select("cls"), "need")
-    signs = scratch.write(base.select("cls", "n", "signature", "bands").join(need, "cls", "left_semi").dropDuplicates(["cls"]), "signs")
+    signs = scratch.write(wide.select("cls", "n", "signature", "bands").join(need, "cls", "left_semi").dropDuplicates(["cls"]), "signs")
+    scratch.drop(wide)
     reps = base.select("cls", "doc_id").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     sets = scratch.write(_sets(docs, reps), "sets")
     centre = mates.groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("c")).select("bucket", F.col("c.cls").alias("b"), F.col("c.n").alias("n_b"))
@@ -287,11 +289,11 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     stars = pairs.where("a != b").where(_alike("n", "n_b", threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
     links = scratch.write(confirm(agreeing(stars, signs, threshold), sets, threshold), "links")
-    comp = scratch.write(components(scratch, links), "components")
-    rest = scratch.write(between_components(left, comp, signs, threshold).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(scratch.write(confirm(rest, sets, threshold), "links"))
-    comp = scratch.write(components(scratch, links), "components")
-    scratch.drop(sets, mates, signs)
+    first = scratch.write(components(scratch, links), "components")
+    rest = scratch.write(between_components(left, first, signs, threshold).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    more = scratch.write(confirm(rest, sets, threshold), "links")
+    comp = scratch.write(components(scratch, links.unionByName(more)), "components")
+    scratch.drop(sets, mates, signs, need, stars, links, first, rest, more)
     rows = base.select("doc_id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("cls", F.coalesce("comp", "cls"))
     lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"))
     rows = rows.join(lowest, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("lowest")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 ROUNDS = 8
 KEY = b"replace this key in production"
@@ -232,7 +232,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
             yield b.set_column(at, b.schema.field(at).name, text)
 
     assert kind.typeName() == "string", "text must be a string column"
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -251,7 +251,7 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             each = [pa.array([c[i] for c in counts], pa.int32()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, b.schema.field(1).type), pa.array([sum(c) for c in counts], pa.int32()), *each], names=["doc_id", "text", "n_replaced", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, n_replaced int, " + ", ".join(f"{n} int" for n in names))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text string, n_replaced int, " + ", ".join(f"{n} int" for n in names))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

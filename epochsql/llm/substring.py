@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UNKNOWN_BYTES, input_bytes, table
+from .common import UNKNOWN_BYTES, input_bytes, map_arrow, table
 from .textkit import Lane, Words, word_chunks
 
 WINDOW = 35
@@ -171,8 +171,8 @@ def repeated(blobs: DataFrame, buckets: int) -> DataFrame:
             packed = [place[i:j].tobytes() + length[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key[c[:-1]]), pa.array(packed, pa.binary())], names=["k", "places"])
 
-    judged = blobs.repartitionById(buckets, "bucket").select("blob").mapInArrow(judge, "bucket int, blob binary")
-    return judged.repartitionById(buckets, "bucket").select("blob").mapInArrow(gather, "k long, places binary")
+    judged = map_arrow(blobs.repartitionById(buckets, "bucket").select("blob"), judge, "bucket int, blob binary")
+    return map_arrow(judged.repartitionById(buckets, "bucket").select("blob"), gather, "k long, places binary")
 
 
 def _places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def _anchor_blobs(texts: DataFrame, buckets: int) -> DataFrame:
                 yield from out.add(keys[lo:hi], doc, lane(801).windows(h, GRAM)[a], p - w.first[doc], q - p + 1)
         yield from out.flush()
 
-    return texts.select("k", "text").mapInArrow(run, "bucket int, blob binary")
+    return map_arrow(texts.select("k", "text"), run, "bucket int, blob binary")
 
 
 def _window_blobs(texts: DataFrame, runs: DataFrame, buckets: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _window_blobs(texts: DataFrame, runs: DataFrame, buckets: int) -> DataFrame:
                 yield from out.add(keys[lo:hi], doc, g[w.first[doc] + place], place, np.ones(len(place)))
         yield from out.flush()
 
-    return texts.join(runs, "k").select("k", "text", "places").mapInArrow(run, "bucket int, blob binary")
+    return map_arrow(texts.join(runs, "k").select("k", "text", "places"), run, "bucket int, blob binary")
 
 
 def strip_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -268,8 +268,22 @@ def strip_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(found, "k", "left").select("doc_id", "text", "places").mapInArrow(run, schema)
+    return map_arrow(texts.join(found, "k", "left").select("doc_id", "text", "places"), run, schema)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35),
+w AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM i),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM w WHERE h IN (SELECT h FROM r)),
+g AS (SELECT DISTINCT doc_id, p FROM c),
+k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+o AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.p) AS kept, count(*) AS n FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.p = g.p WHERE g.p IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(o.n, 0))::BIGINT AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""

@@ -20,8 +20,8 @@ LOWER[65:91] += 32
 #: Bytes of letters and digits: those of ASCII, and all of multi-byte characters.
 LETTER_OR_DIGIT = np.zeros(256, bool)
 LETTER_OR_DIGIT[48:58] = LETTER_OR_DIGIT[65:91] = LETTER_OR_DIGIT[97:123] = LETTER_OR_DIGIT[128:] = True
-CHUNK_BYTES = 1 << 20
-CHUNK_DOCS = 2048
+CHUNK_BYTES = 1 << 19
+CHUNK_DOCS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,30 +31,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+# Odd multipliers without pattern, for bytes and for words.
+BYTE_BASE, WORD_BASE = 0x9E6C63D0876A9A55, 0xD1342543DE82EF95
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below n at least; kept for the next call."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, _U(b), _U)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        have = (both[0], both[1])
+        if size <= 2 * CHUNK_BYTES:
+            _POWERS[base] = have
+    return have
+
+
 class Lane:
-    """One family of fingerprints; two lanes together give 128 bits."""
+    """One family of fingerprints: a random table of bytes."""
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.bytes = rng.integers(0, 1 << 64, 256, dtype=np.uint64) | _U(1)
-        self.base = int(rng.integers(0, 1 << 61)) * 8 + 5
-        self.word_base = int(rng.integers(0, 1 << 61)) * 8 + 3
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = self.tables.get(base)
-        if have is None or len(have[0]) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            both = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(size, _U(b), _U)
-                p[0] = 1
-                both.append(np.multiply.accumulate(p))
-            have = self.tables[base] = (both[0], both[1])
-        return have
 
     def words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = self.powers(self.base, len(buf) + 1)
+        up, down = powers(BYTE_BASE, len(buf) + 1)
         c = np.zeros(len(buf) + 1, _U)
         np.cumsum(self.bytes[buf] * up[: len(buf)], out=c[1:])
         return mix((c[end] - c[start]) * down[start] + (end - start).astype(_U))
@@ -64,7 +70,7 @@ class Lane:
         n = len(word_hash) - k + 1
         if n <= 0:
             return np.zeros(0, _U)
-        up, down = self.powers(self.word_base, len(word_hash) + 1)
+        up, down = powers(WORD_BASE, len(word_hash) + 1)
         c = np.zeros(len(word_hash) + 1, _U)
         np.cumsum(word_hash * up[: len(word_hash)], out=c[1:])
         return mix((c[k:] - c[:-k]) * down[:n])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import Scratch, table
+from .common import Scratch, map_arrow, table
 from .textkit import mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -80,7 +80,7 @@ def tokenise(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY
                 columns = [part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(counts), pa.array([task] * len(ids), pa.int32()), pa.array(starts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "n_seq", "task", "after"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tokens binary, n_seq long, task int, after long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, tokens binary, n_seq long, task int, after long")
 
 
 def materialise(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shard_size: int = SHARD_SIZE, key: int = KEY, vocabulary: str = VOCABULARY, pattern: str = PATTERN, end: int = END) -> DataFrame:
@@ -118,7 +118,7 @@ def materialise(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shar
                 columns = [pa.array(permute(base[rows] + seq, total, key)), part.column(0).take(pa.array(rows)), pa.array(seq, pa.int32()), pa.array(np.minimum(left, length), pa.int32()), pa.array([zlib.crc32(t) for t in tokens], pa.int64()), pa.array(tokens, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    placed = made.select("doc_id", "tokens", "n_seq", "task", "after").mapInArrow(place, "slot long, doc_id long, seq_no int, n_tokens int, crc32 long, tokens binary")
+    placed = map_arrow(made.select("doc_id", "tokens", "n_seq", "task", "after"), place, "slot long, doc_id long, seq_no int, n_tokens int, crc32 long, tokens binary")
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {shard_size} as int)")).withColumn("byte_offset", F.expr(f"(slot % {shard_size}) * {stride}"))
     shards = max(1, -(-total // shard_size))
     placed = placed.repartitionById(shards, "shard").sortWithinPartitions("slot")
@@ -150,7 +150,7 @@ def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, records, size)], names=["shard", "records", "bytes"])
 
     os.makedirs(folder, exist_ok=True)
-    return sequences.select("shard", "tokens").mapInArrow(run, "shard long, records long, bytes long")
+    return map_arrow(sequences.select("shard", "tokens"), run, "shard long, records long, bytes long")
 
 
 def read_slots(folder: str, start: int, count: int, length: int = LENGTH, shard_size: int = SHARD_SIZE) -> Iterator[np.ndarray]:
