@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import tempfile
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -57,9 +58,16 @@ class Transaction:
     changes: dict[str, list[tuple[str, int, bool]]] = field(default_factory=dict)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A local folder, for a session without a store of its own. Only where driver and executors are one process."""
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ExecutionError("on a cluster a session needs a store that all executors share")
+    return tempfile.mkdtemp(prefix="epochsql-store-")
+
+
 class Session:
     def __init__(self, spark: SparkSession, root: str | None = None, database: str = "main", user: str = "root", reject_empty_strings: bool = False):
-        self.spark, self.root = spark, (root or tempfile.mkdtemp(prefix="epochsql-store-")).rstrip("/")
+        self.spark, self.root = spark, (root or _own_folder(spark)).rstrip("/")
         self.users = Users(spark, self.root)
         self.user, self.authenticated = user, True
         self.reject_empty_strings = reject_empty_strings
