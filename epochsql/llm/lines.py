@@ -8,12 +8,13 @@ line number). All steps are DataFrame functions:
    candidates. A word becomes one number that sorts so: its class of commonness, then its hash.
 2. Lines with equal word sets form a class, which its earliest line stands for; the others go at once.
 3. Sets of size n that are similar enough share one of the first n - ceil(t n) + 1 words of each other. These prefixes
-   make an index by word. Pairs must pass a length filter and a positional filter: the words after the shared one in
-   both sets must suffice.
-4. Lists of one class are left out. In each other list one class (of the earliest document) is compared with the rest,
-   as a star, and lines that are removed by that are settled. Only classes that no star settles are compared with all of
-   their lists. So a line of a group of near copies costs a pair for each of its shared prefix words, not one for each
-   other line of the group.
+   make an index by word. Pairs must pass a length filter, a positional filter (the words after the shared one in both
+   sets must suffice), a bitmap filter (words are hashed into 64 bits; each bit that only one of the sets has is a word
+   that they don't share) and a count filter: words that two similar sets share lie in both prefixes, or behind one of them,
+   so the number of prefix words they share has a least value too.
+4. In each word's list one class (of the earliest document) is compared with the rest first, as a star, and lines that
+   are removed by that are settled. Only classes that no star settles are compared with all of their lists. So a line of
+   a group of near copies costs a pair for each of its prefix words, not one for each other line of the group.
 5. Candidates are verified on the full sets, which are made for them alone. Their lines are fetched by a join; a bitmap
    of fixed size, made of the wanted lines, keeps most others from being moved. Where there are too many for it, it only
    lets more pass.
@@ -21,7 +22,7 @@ line number). All steps are DataFrame functions:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -33,9 +34,17 @@ _BREAKS = r"[\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
 
 
+def _split(text: Column) -> Column:
+    """Words, and empty strings between breaks. Where blanks are the only breaks, no pattern is needed."""
+    other = F.lit(False)
+    for c in "\t\n\x0b\x0c\r":
+        other = other | F.contains(text, F.lit(c))
+    return F.when(other, F.split(text, _BREAKS)).otherwise(F.split(text, " "))
+
+
 def _hashes(line: Column) -> Column:
     """Distinct word hashes of a line."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, _BREAKS), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -61,14 +70,28 @@ def _keys(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
-def _enough(n_a: str, n_b: str, at_a: str, at_b: str, threshold: tuple[int, int]) -> Column:
-    """Length and positional filter of two sets that share a word at places at_a and at_b (from 0)."""
+def _enough(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """Length, positional and bitmap filter of two sets that share a word at places at<x> and at<y> (from 0)."""
     t, whole = threshold
-    a, b = F.col(n_a), F.col(n_b)
-    most = F.least(at_a, at_b) + 1 + F.least(a - F.col(at_a), b - F.col(at_b)) - 1
+    a, b, at_a, at_b, bits_a, bits_b = (F.col(f"{c}{side}") for c in ("n", "at", "bits") for side in (x, y))
+    own_a, own_b = (F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in ((bits_a, bits_b), (bits_b, bits_a)))
+    most = F.least(F.least(at_a, at_b) + F.least(a - at_a, b - at_b), a - own_a, b - own_b)
     return (F.least(a, b) * whole >= F.greatest(a, b) * t) & (most * (whole + t) >= (a + b) * t)
 
 
+def _prefix(n: Column, threshold: tuple[int, int]) -> Column:
+    return (n - F.ceil(n * threshold[0] / threshold[1]) + 1).cast("int")
+
+
+def _pairs(matches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that share enough prefix words, from a row for each shared one (a, n_a, b, n_b)."""
+    t, whole = threshold
+    a, b = F.col("n_a"), F.col("n_b")
+    behind = F.greatest(a - _prefix(a, threshold), b - _prefix(b, threshold))
+    counted = matches.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where((F.col("c") + behind) * (whole + t) >= (a + b) * t).select("a", "b")
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc, line_no of the lines to remove. Lines without words are no candidates."""
     t, whole = threshold
@@ -76,28 +99,25 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, i
     lines = split_lines(docs)
     ranks = rarity(docs)
     size = F.size("keys")
-    prefix = F.slice("keys", 1, (size - F.ceil(size * t / whole) + 1).cast("int"))
     keyed = lines.select("doc", "line_no", _keys(F.col("line"), ranks).alias("keys")).where(size > 0)
-    known = scratch.write(keyed.select("doc", "line_no", F.xxhash64("keys").alias("cls"), size.alias("n"), prefix.alias("prefix")), "lines")
-    first = F.min(F.struct("doc", "line_no", "n", "prefix")).alias("first")
+    prefix = F.slice("keys", F.lit(1), _prefix(size, threshold))
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+    known = scratch.write(keyed.select("doc", "line_no", F.xxhash64("keys").alias("cls"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits")), "lines")
+    first = F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("first")
     classes = scratch.write(known.groupBy("cls").agg(first).select("cls", "first.*"), "classes")
     firsts = classes.select("cls", "doc", "line_no")
-    lists = classes.select("cls", "doc", "n", F.posexplode("prefix").alias("at", "word"))
-    words = scratch.write(lists.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("word"), "words")
-    lists = scratch.write(lists.join(words, "word", "left_semi"), "lists")
-    scratch.drop(words)
-    heads = lists.groupBy("word").agg(F.min(F.struct("doc", "cls", "n", "at")).alias("h"))
-    heads = heads.select("word", F.col("h.cls").alias("a"), F.col("h.n").alias("n_a"), F.col("h.at").alias("at_a"))
-    near = lists.join(heads, "word").where("cls != a").where(_enough("n_a", "n", "at_a", "at", threshold))
-    stars = scratch.write(near.select("a", F.col("cls").alias("b")).distinct(), "stars")
+    able = classes.where(F.col("n") * whole >= (F.col("n") + 1) * t)  # a smaller set is similar enough to itself alone
+    listed = lambda x: x.select("cls", "doc", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    head = F.first(F.struct("cls", "n", "at", "bits")).over(Window.partitionBy("word").orderBy("doc", "cls").rowsBetween(Window.unboundedPreceding, 0))
+    near = listed(able).withColumn("h", head).select(F.col("h.cls").alias("a"), F.col("h.n").alias("n_a"), F.col("h.at").alias("at_a"), F.col("h.bits").alias("bits_a"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
+    stars = scratch.write(_pairs(near.where("a != b").where(_enough("_a", "_b", threshold)), threshold), "stars")
     settled = scratch.write(_later(scratch, stars, lines, ranks, firsts, threshold), "settled")
-    open_ = lists.join(settled, "cls", "left_anti").select("word", F.col("cls").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    others = lists.join(heads.select("word", "a"), "word").where("cls != a").drop("a")
-    rest = others.join(open_, "word").where("cls != b and doc <= doc_b").where(_enough("n", "n_b", "at", "at_b", threshold))
-    rest = rest.select(F.col("cls").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    open_ = listed(able.join(settled, "cls", "left_anti")).toDF("b", "doc_b", "n_b", "bits_b", "at_b", "word")
+    rest = listed(able).toDF("a", "doc_a", "n_a", "bits_a", "at_a", "word").join(open_, "word").where("a != b and doc_a <= doc_b").where(_enough("_a", "_b", threshold))
+    rest = _pairs(rest, threshold).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti")
     more = _later(scratch, scratch.write(rest, "rest"), lines, ranks, firsts, threshold)
     gone = scratch.write(settled.unionByName(more).distinct(), "gone")
-    scratch.drop(lists, stars)
+    scratch.drop(stars)
     stay = known.select("doc", "line_no", "cls").join(firsts, ["cls", "doc", "line_no"], "left_semi").join(gone, "cls", "left_anti")
     return known.select("doc", "line_no").join(stay.select("doc", "line_no"), ["doc", "line_no"], "left_anti")
 
