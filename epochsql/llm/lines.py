@@ -1,7 +1,7 @@
 """Removal of lines that are nearly repeated: an exact set-similarity join of the lines' word sets.
 
-A later line goes if its Jaccard similarity to some earlier line is THRESHOLD or more (earlier: by document id, then by
-line number). All steps are DataFrame functions:
+A later line goes if its Jaccard similarity to some earlier line is a threshold or more (earlier: by document id, then by
+line number). ``line_dedup`` takes THRESHOLD where none is given, the query takes NEAR. All steps are DataFrame functions:
 
 1. Words are ordered by rarity. How common a word is, is read from a table of RARITY counts over all lines, into which
    words are hashed; its size is fixed, so it is carried in the plan. Any order gives right results, a rare-first one few
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 THRESHOLD = (90, 100)
+NEAR = (75, 100)
 RARITY = 1 << 16
 BITMAP = 1 << 16  # longs
 _BREAKS = r"[\x20\x09-\x0D]+"
@@ -173,4 +174,4 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark, table(spark, sf_dir, "documents"))
+    return line_dedup(spark, table(spark, sf_dir, "documents"), NEAR)

@@ -250,6 +250,28 @@ def test_line_dedup_odd_rows(spark, docs, rows, empty):
     assert lines.line_dedup(spark, empty).count() == 0
 
 
+def test_line_dedup_query_takes_near_lines(spark, tmp_path):
+    rng = random.Random(5)
+    v = vocabulary(rng, 200)
+    pool = [[rng.choice(v) for _ in range(rng.choice([2, 3, 4, 7, 8, 20, 40]))] for _ in range(25)]
+    rows = []
+    for i in range(60):
+        out = []
+        for _ in range(rng.randint(0, 6)):
+            x = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 1 + len(x) // 5)):
+                x[rng.randrange(len(x))] = rng.choice(v)
+            out.append(" ".join(x + rng.choices(v, k=rng.randint(0, 1))))
+        rows.append((i, "\n".join(out)))
+    rows += [(100, "k l m n o p q r"), (101, "k l m n o p q z"), (102, "r s t u"), (103, "r s t"), (104, "r s v")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = lines_brute(rows, 75)
+    assert want[101] == [0] and want[103] == [0] and not want[104]
+    found = {r["doc_id"]: list(r["removed_lines"]) for r in lines.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {i: want[i] for i, _ in rows}
+    assert sum(map(len, lines_brute(rows, 90).values())) < sum(map(len, want.values()))
+
+
 # -- op4
 
 
