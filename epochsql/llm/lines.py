@@ -151,6 +151,24 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column,
     return alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
 
 
+def _gone(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """doc and, in order, the numbers of its removed lines; documents that lose none are left out."""
+    return repeated_lines(spark, docs, threshold).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+
+
+def _counted(docs: DataFrame, gone: DataFrame, *more: str) -> DataFrame:
+    """A row per document: doc_id, n_lines, removed (null for none) and further columns of ``docs``."""
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select("doc_id", *more, (F.coalesce(breaks, F.lit(0)) + 1).cast("int").alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
+    return rows.join(gone, "doc", "left")
+
+
+def _kept(text: str, removed: str) -> Column:
+    """A text without its removed lines; null texts stay null."""
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(removed, i)), "\n")
+    return F.when(F.col(removed).isNull(), F.col(text)).otherwise(kept)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, n_lines, n_removed and the numbers of the removed lines (from 0), in order.
 
@@ -158,20 +176,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]
     others and, among themselves, told apart by line numbers alone. Repeated rows have one id and are treated alike:
     their lines don't remove each other. Other columns are ignored; an empty table gives no rows.
     """
-    gone = repeated_lines(spark, docs, threshold).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = docs.select("doc_id", (F.coalesce(breaks, F.lit(0)) + 1).cast("int").alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(gone, "doc", "left").select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
+    return _counted(docs, _gone(spark, docs, threshold)).select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = NEAR) -> DataFrame:
+    """What ``line_dedup`` returns, and the text without those lines as kept_text."""
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    rows = _counted(docs, _gone(spark, docs, threshold), "text")
+    return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"), _kept("text", "removed").alias("kept_text"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with all columns and the lines that ``line_dedup`` found taken out of the texts; null texts stay null."""
     lines = removed.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__removed")).dropDuplicates(["__id"])
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     both = docs.join(lines, docs["doc_id"].eqNullSafe(lines["__id"]), "left")
-    return both.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    return both.withColumn("text", _kept("text", "__removed")).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark, table(spark, sf_dir, "documents"), NEAR)
+    return deduplicated(spark, table(spark, sf_dir, "documents"))

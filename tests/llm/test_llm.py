@@ -272,6 +272,17 @@ def test_line_dedup_query_takes_near_lines(spark, tmp_path):
     assert sum(map(len, lines_brute(rows, 90).values())) < sum(map(len, want.values()))
 
 
+def test_line_dedup_query_returns_texts(spark, docs, rows, tmp_path):
+    some = [r for r in rows if r[0] is not None]
+    spark.createDataFrame(some, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    want = lines_brute(some, 75)
+    assert sum(map(len, want.values())) > 5
+    got = {r["doc_id"]: r["kept_text"] for r in lines.op3_line_dedup(spark, str(tmp_path)).collect()}
+    for i, t, *_ in some:
+        assert got[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])), i
+    assert len(got) == len(some)
+
+
 # -- op4
 
 
