@@ -6,11 +6,17 @@ network permutes the numbers below N (walking the cycle until it falls below N a
 in the same format, with its checksum made right. So equal values get equal pseudonyms in all documents and however
 they are written, different ones differ, and whoever holds the key can turn them back. The letters and digits of an
 e-mail address's local part are permuted likewise. Values that fail validation are left as they are.
+
+Where a match fails validation, its other lengths at group borders and the other kinds are tried at the same place, and
+the search goes on behind its first character; so a number that stands beside others is found too. In such a place a
+pseudonym may by chance be valid together with the number beside it, and the text, as a whole, can't be turned back then;
+the value alone can.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
@@ -74,18 +80,38 @@ def in_format(digits: str, like: str) -> str:
 
 
 _DIGITS = re.compile(r"[0-9]")
-_NUMBER = re.compile(
-    r"""(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-      | (?<![0-9A-Za-z_.+-])(?:
-        (?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9]))
-      | (?P<date>(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![0-9/-]|\.[0-9]))
-      | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-      | (?P<card>[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9]))
-      | (?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9])))
-      | (?<![0-9A-Za-z_.+-])(?P<phone2>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]|[.-][0-9]))
-      | (?<![0-9A-Za-z_.+-])(?P<phone3>\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9]))""",
-    re.X,
-)
+_FREE = r"(?<![0-9A-Za-z_.+-])"
+_END = r"(?![0-9]|[.-][0-9])"
+#: Lengths of IBANs by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _iban(n: int) -> re.Pattern:
+    more = f"[ ]?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return re.compile(rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{more}(?![A-Za-z0-9])")
+
+
+_IBANS = {n: _iban(n) for n in range(34, 14, -1)}
+#: Forms of each kind, in the order in which they are tried at a place; a card may also begin or end at a dash within a run of digits.
+_FORMS = [
+    ("ip", rf"{_FREE}[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}(?![0-9]|\.[0-9])"),
+    ("date", rf"{_FREE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}})(?![0-9/-]|\.[0-9])"),
+    ("ssn", rf"{_FREE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-])"),
+    *(("card", rf"(?:{_FREE}|(?<=[0-9]-))[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9]|\.[0-9])") for n in range(19, 12, -1)),
+    ("phone", rf"{_FREE}(?:\+[0-9]{{1,3}}[ .-]?|1[.-](?=\(?[0-9]{{3}}[) .-]))?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])[0-9]{{3}}[ .-]?[0-9]{{4}}{_END}"),
+    *(("phone", rf"{_FREE}\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .-]?[0-9]{{2,4}}){{{n}}}{_END}") for n in (4, 3, 2)),
+]
+_FORMS = [(kind, re.compile(form)) for kind, form in _FORMS]
+#: Where one of them may begin.
+_START = re.compile("|".join(["(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}", rf"(?:{_FREE}|(?<=[0-9]-))[0-9]", rf"{_FREE}[+(][0-9]"]))
 _EMAIL = re.compile(r"([^\W_](?:[\w.%+-]*[\w%+-])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})")
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -108,8 +134,9 @@ class Pseudonymiser:
         return in_format(body + str(-luhn_sum(body + "0") % 10), s)
 
     def phone(self, s: str, back: bool = False) -> str | None:
-        """The national number is permuted; a country code after + stays. Seven digits at least, fifteen at most."""
-        m = re.match(r"\+[0-9]{1,3}(?=[ .(-])", s)
+        """The national number is permuted; a country code after +, or a 1 before it, stays. Seven digits at least, fifteen
+        at most."""
+        m = re.match(r"(?:\+[0-9]{1,3}|1)(?=[ .(-])", s)
         head, rest = (m.group(), s[m.end() :]) if m else ("", s)
         d = "".join(_DIGITS.findall(rest))
         return head + in_format(self._digits("phone", d, back), rest) if 7 <= len(d) <= 15 else None
@@ -196,6 +223,19 @@ class Pseudonymiser:
             out.append(new.upper() if like.isupper() else new)
         return "".join(reversed(out))
 
+    @staticmethod
+    def _forms(s: str, at: int) -> Iterator[tuple[str, int]]:
+        """Kinds and ends of what may stand at a place. Of IBANs, the length of the country comes first."""
+        if s[at].isalpha():
+            first = IBAN_LENGTHS.get(s[at : at + 2])
+            for n in [first, *_IBANS] if first else _IBANS:
+                if m := _IBANS[n].match(s, at):
+                    yield "iban", m.end()
+            return
+        for kind, form in _FORMS:
+            if m := form.match(s, at):
+                yield kind, m.end()
+
     def text(self, s: str, back: bool = False) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms in place of personal data, and how many of each kind were replaced."""
         found: dict[str, int] = {}
@@ -207,16 +247,19 @@ class Pseudonymiser:
 
             s = _EMAIL.sub(mail, s)
         if _DIGITS.search(s):
-
-            def number(m):
-                kind = m.lastgroup.rstrip("23")
-                new = getattr(self, kind)(m[0], back)
-                if new is None:
-                    return m[0]
-                found[kind] = found.get(kind, 0) + 1
-                return new
-
-            s = _NUMBER.sub(number, s)
+            out, done, at = [], 0, 0
+            while m := _START.search(s, at):
+                at = m.start()
+                for kind, end in self._forms(s, at):
+                    new = getattr(self, kind)(s[at:end], back)
+                    if new is not None:
+                        found[kind] = found.get(kind, 0) + 1
+                        out += s[done:at], new
+                        done = at = end
+                        break
+                else:
+                    at += 1
+            s = "".join([*out, s[done:]])
         return s, found
 
 

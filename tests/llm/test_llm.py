@@ -664,6 +664,23 @@ def test_pseudonyms(spark, empty):
     assert pii.replaced(empty).count() == 0
 
 
+def test_pseudonyms_of_numbers_beside_numbers():
+    p = pii.Pseudonymiser()
+    card, iban = "4111 1111 1111 1111", {"AT61 1904 3002 3457 3201": "EUR", "BE68 5390 0754 7034": "2024", "ES91 2100 0418 4502 0005 1332": "IBAN"}
+    for s in (f"{card} 12/27", f"{card} 123", f"2024 {card}", f"7 {card}", f"no. 7-{card.replace(' ', '-')}-123", f"{card}, {card} 99"):
+        new, found = p.text(s)
+        assert found == {"card": s.count(card) or 1} and new == s.replace(card, p.card(card)).replace(card.replace(" ", "-"), p.card(card.replace(" ", "-"))), s
+    for s, tail in iban.items():
+        for behind in (tail, "EUR", "2024", "X", ""):
+            assert p.text(f"to {s} {behind}") == (f"to {p.iban(s)} {behind}", {"iban": 1}), (s, behind)
+    assert p.text("1-800-555-1234") == ("1-" + p.phone("800-555-1234"), {"phone": 1})
+    assert p.text("15-01-2024") == (p.date("15-01-2024"), {"date": 1}) and p.text("15-01-2024")[0] != "15-01-2024"
+    assert p.text(p.text("on 15-01-2024, 1-800-555-1234")[0], back=True)[0] == "on 15-01-2024, 1-800-555-1234"
+    assert p.text(f"078-05-1120 {card}")[1] == {"ssn": 1, "card": 1} and p.text(f"555 123 4568 {card}")[1] == {"phone": 1, "card": 1}
+    for s in ("31-02-2024", "15/01-2024", "4111 1111 1111 1112 12/27", "AT61 1904 3002 3457 3202 EUR"):
+        assert p.text(s) == (s, {}), s
+
+
 # -- the pipeline
 
 
