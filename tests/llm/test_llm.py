@@ -513,6 +513,26 @@ def test_quality(spark):
     assert quality.keep_good(held, nothing).count() == held.count()
 
 
+def test_quality_with_a_huge_rated_text(spark):
+    train, test = graded(1, 240), graded(2, 200)
+    least = spark.createDataFrame([(a,) for a, *_ in train], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]
+    train = [(a, t * 4000 if a == least else t, q, x) for a, t, q, x in train]  # the first in hash order
+    df = spark.createDataFrame(train, "doc_id long, text string, quality int, toxic int")
+    most = sum(len(t.encode()) for a, t, *_ in train if a != least) + 1000
+    assert most < max(len(t.encode()) for _, t, *_ in train)
+    model = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), max_bytes=most)
+    got = {r["doc_id"]: r["kept"] for r in quality.score(spark.createDataFrame([(a, b) for a, b, *_ in test], "doc_id long, text string"), model).collect()}
+    assert sum(got[a] == (q == 1 and not t) for a, _, q, t in test) >= 0.95 * len(test)
+
+
+def test_common_length():
+    assert quality.common_length([5, 3, 9], 17) is None and quality.common_length([], 0) is None
+    for sizes, most, length in (([5, 3, 9], 16, 8), ([5, 3, 900], 12, 4), ([100, 100, 1], 11, 5), ([50], 7, 7)):
+        assert quality.common_length(sizes, most) == length and sum(min(x, length) for x in sizes) <= most
+    assert quality._beginning("one twö three", 8) == "one twö" and quality._beginning("one two", 5) == "one"
+    assert quality._beginning("ööö", 3) == "ö" and quality._beginning("one", 3) == "one" and quality._beginning(None, 3) is None
+
+
 def test_ordinal_gradient():
     """The fitted model is at least as likely as its neighbours."""
     rng = np.random.default_rng(0)
