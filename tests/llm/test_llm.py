@@ -525,6 +525,12 @@ def test_quality_with_a_huge_rated_text(spark):
     assert sum(got[a] == (q == 1 and not t) for a, _, q, t in test) >= 0.95 * len(test)
 
 
+def test_size_of_the_rated_sample(spark):
+    df = spark.range(8100).selectExpr("id doc_id", "concat('w', id) text", "1 quality", "0 toxic")
+    assert quality.rated_sample(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic")).count() == 8000
+    assert quality.MAX_BYTES == 48 << 20
+
+
 def test_common_length():
     assert quality.common_length([5, 3, 9], 17) is None and quality.common_length([], 0) is None
     for sizes, most, length in (([5, 3, 9], 16, 8), ([5, 3, 900], 12, 4), ([100, 100, 1], 11, 5), ([50], 7, 7)):
