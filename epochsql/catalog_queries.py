@@ -6,6 +6,7 @@ write, on tables too large to pass through literals.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,19 +139,24 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.log_from_events(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
 
 
+def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS)
+    return temporal.states_from_events(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+
+
 def _at(moment: str, later: bool = False):
     ts = F.lit(moment).cast("timestamp_ntz")
     return F.col("_ts") > ts if later else F.col("_ts") <= ts
 
 
 def _forward(moment: str) -> Query:
-    return lambda spark, sf_dir: temporal.forward(event_log(spark, sf_dir), _at(moment)).select("row.*")
+    return lambda spark, sf_dir: temporal.forward(event_states(spark, sf_dir), _at(moment)).select("row.*")
 
 
 def _reverse(moment: str) -> Query:
     def run(spark, sf_dir):
-        log = event_log(spark, sf_dir)
-        return temporal.reverse(temporal.forward(log, F.lit(True)), log, _at(moment, later=True)).select("row.*")
+        live = temporal.forward(event_states(spark, sf_dir), F.lit(True))
+        return temporal.reverse(live, event_log(spark, sf_dir), _at(moment, later=True)).select("row.*")
 
     return run
 
@@ -177,7 +183,7 @@ for _name, _make, _moment in (("as_of_forward", _forward, MIDDLE), ("as_of_rever
 
 def recover_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live rows after the changes of RECOVER TO are applied to them."""
-    log = event_log(spark, sf_dir)
+    log = event_states(spark, sf_dir)
     now = temporal.forward(log, F.lit(True))
     change = temporal.diff(now, temporal.forward(log, _at(MIDDLE)))
     return now.join(change.select("_rid"), "_rid", "left_anti").select("row.*").unionByName(change.where("_op != 'D'").select("row.*"))
@@ -263,7 +269,14 @@ QUERIES["not_null_violations"] = lambda spark, d: C.not_null(spark.read.parquet(
 ORACLES["not_null_violations"] = "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL"
 QUERIES["default_fill"] = lambda spark, d: C.fill_defaults(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status")), {"status": F.lit("none")})
 ORACLES["default_fill"] = "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus ELSE 'none' END AS status FROM orders"
-QUERIES["auto_increment"] = lambda spark, d: C.auto_increment(spark.read.parquet(f"{d}/orders.parquet").select(F.lit(None).cast("long").alias("id"), "o_orderkey"), "id", 100, ["o_orderkey"])
+
+
+def auto_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(None).cast("long").alias("id"), "o_orderkey")
+    return C.auto_increment(rows, "id", 100, ["o_orderkey"], f"{session(spark, sf_dir).root}/scratch/{uuid.uuid4().hex}")
+
+
+QUERIES["auto_increment"] = auto_increment
 ORACLES["auto_increment"] = "SELECT 100 + row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey FROM orders"
 
 
@@ -283,9 +296,78 @@ def fk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["fk_cascade"], ORACLES["fk_cascade"] = fk_cascade, "SELECT n_nationkey AS id, n_regionkey AS p FROM nation WHERE n_regionkey <> 2"
 
-# -- catalog
-QUERIES["describe_table"] = lambda spark, d: _loaded(spark, d).sql("WASF cust;")
-QUERIES["show_create_table"] = lambda spark, d: _loaded(spark, d).sql("SHOW CREATE TABLE cust;")
-for _v in ("TABLES", "DATABASES", "USERS", "STATUS"):
-    QUERIES[f"show_{_v.lower()}"] = lambda spark, d, v=_v: session(spark, d).sql(f"WARENY {v};")
-QUERIES["whoami"] = lambda spark, d: session(spark, d).sql("ANAMEEN;")
+_write("update_expression", ["UPDATE cust SET balance = balance * 2 - 10, nation = nation + 1 WHERE segment = 'BUILDING';"], _CUST.format(b="CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 - 10 ELSE c_acctbal END", s="c_mktsegment", w="").replace("c_nationkey AS nation", "CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey + 1 ELSE c_nationkey END AS nation"))
+_write("update_casts", ["UPDATE cust SET balance = 7, name = 'n' WHERE nation = 3;"], "SELECT c_custkey::INTEGER AS id, CASE WHEN c_nationkey = 3 THEN 'n' ELSE c_name END AS name, c_nationkey AS nation, CASE WHEN c_nationkey = 3 THEN 7.0 ELSE c_acctbal END AS balance, c_mktsegment AS segment FROM customer")
+_write("truncate_table", ["TRUNCATE TABLE cust;"], "SELECT 0::BIGINT AS n", "SELECT COUNT(*) AS n FROM cust;")
+_write("recover_latest", ["DELETE FROM cust WHERE nation = 3;", "RECOVER TO LATEST;"], _CUST.format(b="c_acctbal", s="c_mktsegment", w="WHERE c_nationkey <> 3"))
+_write("alter_add_column", ["ALTER TABLE cust ADD COLUMN grade INT DEFAULT 5;", "UPDATE cust SET grade = grade + nation WHERE nation = 3;"], "SELECT c_custkey::INTEGER AS id, CASE WHEN c_nationkey = 3 THEN 8 ELSE 5 END AS grade FROM customer", "SELECT id, grade FROM cust;")
+_write("alter_drop_column", ["ALTER TABLE cust DROP COLUMN balance;"], "SELECT c_custkey::INTEGER AS id, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+_write("alter_rename_column", ["ALTER TABLE cust RENAME COLUMN balance TO money;", "UPDATE cust SET money = 1.5 WHERE nation = 3;"], "SELECT c_custkey::INTEGER AS id, CASE WHEN c_nationkey = 3 THEN 1.5 ELSE c_acctbal END AS money FROM customer", "SELECT id, money FROM cust;")
+_write("checkpoint_and_vacuum", ["BEGIN;", "DELETE FROM cust;", "ROLLBACK;", "CHECKPOINT;", "VACUUM cust;", "DELETE FROM cust WHERE nation = 3;"], _CUST.format(b="c_acctbal", s="c_mktsegment", w="WHERE c_nationkey <> 3"))
+
+
+def create_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    if "rich" in s.db.views():
+        s.execute("DROP VIEW rich;")
+    s.execute("CREATE VIEW rich AS SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 5000.0;")
+    return s.sql("SELECT n_name, COUNT(*) AS n FROM rich JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name;")
+
+
+QUERIES["create_view"] = create_view
+ORACLES["create_view"] = "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000.0 GROUP BY n_name"
+
+
+def _past(name: str, text: str, oracle: str) -> None:
+    """A SELECT over the past of a table that has been changed since; {ts} is the moment before the changes."""
+
+    def run(spark, sf_dir):
+        s = _loaded(spark, sf_dir)
+        ts = s.db.commits()[s.db.head()]["ts"]
+        s.execute("UPDATE cust SET balance = 0.0 WHERE nation = 3;")
+        s.execute("DELETE FROM cust WHERE nation = 5;")
+        return s.sql(text.format(ts=ts))
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+_past("as_of_where", "SELECT id, balance FROM cust AS OF {ts} WHERE balance > 100.0 AND nation = 3;", "SELECT c_custkey::INTEGER AS id, c_acctbal AS balance FROM customer WHERE c_acctbal > 100.0 AND c_nationkey = 3")
+_past("as_of_join", "SELECT a.id AS id, b.name AS name FROM cust a AS OF {ts} JOIN cust b ON a.id = b.id WHERE a.nation = 5;", "SELECT c_custkey::INTEGER AS id, c_name AS name FROM customer WHERE c_nationkey = 5")
+_past("as_of_group", "SELECT nation, COUNT(*) AS n FROM cust AS OF {ts} GROUP BY nation HAVING COUNT(*) > 1;", "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
+statement("select_all_keyword", "2E5TAR KOL r_name MEN region;", "SELECT r_name FROM region")
+statement("filter_date_forms", "SELECT o_orderkey FROM orders WHERE o_orderdate < '1996-01-01 00:00:00' AND o_orderdate BETWEEN '1995-06-01' AND '1995-12-31';", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderdate BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '1995-12-31'")
+statement("analyze_table", "ANALYZE TABLE nation;", """SELECT * FROM (VALUES
+  ('n_nationkey', (SELECT count(*) FROM nation), (SELECT count(*) - count(n_nationkey) FROM nation), (SELECT count(DISTINCT n_nationkey) FROM nation), (SELECT min(n_nationkey)::VARCHAR FROM nation), (SELECT max(n_nationkey)::VARCHAR FROM nation)),
+  ('n_name', (SELECT count(*) FROM nation), (SELECT count(*) - count(n_name) FROM nation), (SELECT count(DISTINCT n_name) FROM nation), (SELECT min(n_name) FROM nation), (SELECT max(n_name) FROM nation)),
+  ('n_regionkey', (SELECT count(*) FROM nation), (SELECT count(*) - count(n_regionkey) FROM nation), (SELECT count(DISTINCT n_regionkey) FROM nation), (SELECT min(n_regionkey)::VARCHAR FROM nation), (SELECT max(n_regionkey)::VARCHAR FROM nation))
+) t("Column", "Rows", "Nulls", "Distinct", "Min", "Max")""")
+
+# -- catalog: fixed tables in a database of their own, so that nothing else is listed
+
+
+def _catalog(name: str, text: str, oracle: str) -> None:
+    def run(spark, sf_dir):
+        s = session(spark, sf_dir)
+        s.external.clear()
+        if not s.db.files.exists(f"{s.root}/catalog/database.json"):
+            s.execute("CREATE DATABASE catalog;")
+        s.use("catalog")
+        if "item" not in s.db.tables():
+            s.execute("CREATE TABLE kind (id INT PRIMARY KEY, name STRING(20) UNIQUE NOT NULL);")
+            s.execute("CREATE TABLE item (id INT PRIMARY KEY AUTO_INCREMENT, kind INT REFERENCES kind (id) ON DELETE CASCADE, price DECIMAL DEFAULT 1.5 CHECK (price > 0), made DATE);")
+        if "clerk" not in s.users.all():
+            s.execute("CREATE USER clerk PASS secret ROLE READONLY;")
+        return s.sql(text)
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+_catalog("describe_table", "WASF item;", """SELECT * FROM (VALUES ('id', 'INTEGER', 'NO', 'PRI', '', 'auto_increment'), ('kind', 'INTEGER', 'YES', '', '', ''), ('price', 'DECIMAL', 'YES', '', '1.5', ''), ('made', 'TIMESTAMP', 'YES', '', '', ''))
+t("Column", "Type", "Nullable", "Key", "Default", "Extra")""")
+_catalog("show_create_table", "SHOW CREATE TABLE item;", """SELECT 'item' AS "Table", 'CREATE TABLE `item` (' || chr(10) || '  `id` INTEGER NOT NULL AUTO_INCREMENT,' || chr(10) || '  `kind` INTEGER,' || chr(10) || '  `price` DECIMAL DEFAULT 1.5 CHECK (price > 0),' || chr(10)
+|| '  `made` TIMESTAMP,' || chr(10) || '  PRIMARY KEY (`id`),' || chr(10) || '  FOREIGN KEY (`kind`) REFERENCES `kind` (`id`) ON DELETE CASCADE ON UPDATE RESTRICT' || chr(10) || ');' AS "Create Table" """)
+_catalog("show_tables", "WARENY TABLES;", """SELECT * FROM (VALUES ('item'), ('kind')) t("Tables_in_catalog")""")
+_catalog("show_databases", "WARENY DATABASES;", """SELECT * FROM (VALUES ('catalog'), ('main')) t("Database")""")
+_catalog("show_users", "WARENY USERS;", """SELECT * FROM (VALUES ('clerk', 'catalog:READONLY'), ('root', '*:SUPERADMIN')) t("Username", "Roles")""")
+_catalog("show_status", "WARENY STATUS;", """SELECT * FROM (VALUES ('Current User', 'root'), ('Current Database', 'catalog'), ('Current Role', 'SUPERADMIN'), ('Authenticated', 'Yes')) t("Variable", "Value")""")
+_catalog("whoami", "ANAMEEN;", """SELECT 'root' AS "Current User", 'catalog' AS "Current DB", 'SUPERADMIN' AS "Role" """)

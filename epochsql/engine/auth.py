@@ -11,10 +11,10 @@ from pyspark.sql import SparkSession
 from ..sources.files import Files
 
 ROLES = ("SUPERADMIN", "ADMIN", "NORMAL", "READONLY", "DENIED")
-READS = {"SELECT", "EXPLAIN"}
-SHOWS = {"SHOW", "DESCRIBE", "WHOAMI", "LOGIN", "USE"}
-DML = READS | {"INSERT", "UPDATE", "DELETE", "BEGIN", "COMMIT", "ROLLBACK"}
-DDL = {"CREATE DATABASE", "DROP DATABASE", "CREATE TABLE", "DROP TABLE", "CREATE INDEX", "DROP INDEX", "CHECKPOINT", "RECOVER"}
+READS = {"SELECT", "EXPLAIN", "ANALYZE"}
+SHOWS = {"SHOW", "DESCRIBE", "WHOAMI", "LOGIN", "USE", "PRAGMA"}
+DML = READS | {"INSERT", "UPDATE", "DELETE", "TRUNCATE", "BEGIN", "COMMIT", "ROLLBACK"}
+DDL = {"CREATE DATABASE", "DROP DATABASE", "CREATE TABLE", "DROP TABLE", "CREATE INDEX", "DROP INDEX", "ALTER TABLE", "CREATE VIEW", "DROP VIEW", "VACUUM", "CHECKPOINT", "RECOVER"}
 ALLOWED = {"ADMIN": DML | DDL | SHOWS, "NORMAL": DML | SHOWS, "READONLY": READS | SHOWS, "DENIED": {"LOGIN", "WHOAMI", "USE"}}
 ROOT = "root"
 

@@ -126,6 +126,7 @@ class ColumnDef:
     default: Lit | None = None
     check: object | None = None
     check_text: str | None = None
+    references: ForeignKey | None = None
 
 
 @dataclass(frozen=True)
@@ -149,7 +150,24 @@ class CreateTable:
 class CreateIndex:
     name: str
     table: str
-    column: str
+    columns: tuple[str, ...]
+    unique: bool = False
+    where: str | None = None
+
+
+@dataclass(frozen=True)
+class AlterTable:
+    table: str
+    action: str  # ADD, DROP or RENAME
+    name: str | None = None
+    to: str | None = None
+    column: ColumnDef | None = None
+
+
+@dataclass(frozen=True)
+class CreateView:
+    name: str
+    select: str
 
 
 @dataclass(frozen=True)
@@ -160,10 +178,17 @@ class Insert:
     select: Select | None = None
 
 
+@dataclass(frozen=True)
+class Arith:
+    left: Col | Lit | Arith
+    op: str
+    right: Col | Lit | Arith
+
+
 @dataclass(frozen=True)
 class Update:
     table: str
-    sets: tuple[tuple[str, Lit], ...]
+    sets: tuple[tuple[str, Lit | Col | Arith], ...]
     where: object | None
 
 

@@ -25,7 +25,7 @@ _TOKEN = re.compile(
       | (?P<string>'[^']*'|"[^"]*")
       | (?P<word>[0-9]*[^\W0-9]\w*)
       | (?P<number>-?[0-9]+(?:\.[0-9]+)?)
-      | (?P<op><=|>=|<>|!=|[*,();=<>.])""",
+      | (?P<op><=|>=|<>|!=|[*,();=<>.+/-])""",
     re.X | re.S,
 )
 

@@ -304,8 +304,8 @@ class Parser:
                 c.default = self.literal()
             elif self.take("CHECK"):
                 c.check_text, c.check = self.check()
-            elif self.take("REFERENCES"):
-                raise ParseError("declare a foreign key after the columns: FOREIGN KEY (c) REFERENCES t (c)")
+            elif self.is_kw("REFERENCES"):
+                c.references = self.references((name,))
             else:
                 return c
 
@@ -318,7 +318,9 @@ class Parser:
         return text, p
 
     def foreign_key(self) -> A.ForeignKey:
-        columns = self.names()
+        return self.references(self.names())
+
+    def references(self, columns: tuple[str, ...]) -> A.ForeignKey:
         self.need("REFERENCES")
         table = self.name("a table")
         refs = self.names()
@@ -365,18 +367,28 @@ class Parser:
                         c.primary, c.nullable = True, False
                 else:
                     out.columns.append(self.column_def())
+                    out.foreign_keys += [out.columns[-1].references] * bool(out.columns[-1].references)
                 if not self.op(","):
                     break
             self.need_op(")")
             return out
-        if self.take("INDEX"):
+        unique = self.take("UNIQUE", "INDEX")
+        if unique or self.take("INDEX"):
             name = self.name("an index")
             self.need("ON")
             table = self.name("a table")
-            columns = self.names()
-            if len(columns) != 1:
-                raise ParseError("an index has one column")
-            return A.CreateIndex(name, table, columns[0])
+            columns, where = self.names(), None
+            if self.take("WHERE"):
+                start = self.tok.at
+                self.predicate()
+                where = self.text[start : self.tok.at].strip()
+            return A.CreateIndex(name, table, columns, unique, where)
+        if self.take("VIEW"):
+            name = self.name("a view")
+            self.need("AS")
+            start = self.tok.at
+            self.select()
+            return A.CreateView(name, self.text[start : self.tok.at].strip())
         if self.take("DATABASE"):
             return A.Simple("CREATE DATABASE", (self.name("a database"),))
         if self.take("USER"):
@@ -430,13 +442,52 @@ class Parser:
         while True:
             c = self.name("a column")
             self.need_op("=")
-            sets.append((c, self.literal()))
+            sets.append((c, self.sum()))
             if not self.op(","):
                 break
         return A.Update(table, tuple(sets), self.predicate() if self.take("WHERE") else None)
 
+    def sum(self):
+        out = self.product()
+        while self.tok.text in ("+", "-") and self.tok.kind == "op" or self.tok.kind == "number" and self.tok.text[0] == "-":
+            op = "-" if self.op("-") else "+"  # "a -1" is read as a and the number -1
+            if op == "+":
+                self.op("+")
+            out = A.Arith(out, op, self.product())
+        return out
+
+    def product(self):
+        out = self.factor()
+        while self.tok.kind == "op" and self.tok.text in "*/":
+            self.i += 1
+            out = A.Arith(out, self.toks[self.i - 1].text, self.factor())
+        return out
+
+    def factor(self):
+        if self.op("("):
+            out = self.sum()
+            self.need_op(")")
+            return out
+        if self.op("-"):
+            return A.Arith(A.Lit(0), "-", self.factor())
+        return self.literal() if self.is_literal() else A.Col(self.dotted())
+
+    def alter(self):
+        table = self.name("a table")
+        if self.take("ADD"):
+            self.take("COLUMN")
+            return A.AlterTable(table, "ADD", column=self.column_def())
+        if self.take("DROP") or self.take("DELETE"):
+            self.take("COLUMN")
+            return A.AlterTable(table, "DROP", self.name("a column"))
+        self.need("RENAME")
+        self.take("COLUMN")
+        name = self.name("a column")
+        self.need("TO")
+        return A.AlterTable(table, "RENAME", name, self.name("a column"))
+
     def delete(self):
-        for w in ("TABLE", "DATABASE", "USER", "INDEX"):
+        for w in ("TABLE", "DATABASE", "USER", "INDEX", "VIEW"):
             if self.is_kw(w) and not self.is_kw("FROM"):
                 self.i += 1
                 return A.Simple(f"DROP {w}", (self.name(),))
@@ -456,11 +507,29 @@ class Parser:
             return self.select()
         if self.take("INSERT"):
             return self.insert()
+        if self.is_kw("UPDATE") and self.is_kw("TABLE", at=1):
+            self.i += 2
+            return self.alter()
         if self.take("UPDATE"):
             return self.update()
+        if self.take("ALTER", "TABLE"):
+            return self.alter()
         if self.take("ALTER", "USER"):
             self.i -= 1
             return self.update()
+        if self.take("TRUNCATE"):
+            self.take("TABLE")
+            return A.Simple("TRUNCATE", (self.name("a table"),))
+        if self.take("ANALYZE"):
+            self.take("TABLE")
+            out = A.Simple("ANALYZE", (self.name("a table"),))
+            self.take("UPDATE", "HISTOGRAM")
+            return out
+        if self.take("VACUUM"):
+            return A.Simple("VACUUM", (self.name() if self.tok.kind == "word" else None,))
+        if self.take("PRAGMA"):
+            name = self.name("a setting")
+            return A.Simple("PRAGMA", (name, self.literal().value if self.op("=") else None))
         if self.take("DELETE"):
             return self.delete()
         if self.take("DROP"):

@@ -3,6 +3,7 @@ statement; a response is a big-endian length and the result."""
 
 from __future__ import annotations
 
+import argparse
 import socketserver
 import struct
 
@@ -42,3 +43,21 @@ def serve(make_session, host: str = "127.0.0.1", port: int = PORT) -> socketserv
 
     socketserver.ThreadingTCPServer.allow_reuse_address = True
     return socketserver.ThreadingTCPServer((host, port), Handler)
+
+
+def main() -> None:
+    """python -m epochsql.server STORE [--host H] [--port P]: one Spark session; each connection must log in first."""
+    from pyspark.sql import SparkSession
+
+    p = argparse.ArgumentParser(description=main.__doc__)
+    p.add_argument("store")
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=PORT)
+    args = p.parse_args()
+    spark = SparkSession.builder.appName("epochsql").getOrCreate()
+    with serve(lambda: Session(spark, args.store, user="", authenticated=False), args.host, args.port) as server:
+        server.serve_forever()
+
+
+if __name__ == "__main__":
+    main()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -21,7 +23,11 @@ class Files:
 
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(p) else []
+
+    def age_ms(self, path: str) -> int:
+        p, fs = self._at(path)
+        return self.jvm.java.lang.System.currentTimeMillis() - fs.getFileStatus(p).getModificationTime()
 
     def read(self, path: str):
         p, fs = self._at(path)
@@ -32,7 +38,6 @@ class Files:
             stream.close()
 
     def write(self, path: str, value, overwrite: bool = True) -> None:
-        """With overwrite=False the file is created or the call fails: that is what makes commits atomic."""
         p, fs = self._at(path)
         stream = fs.create(p, overwrite)
         try:
@@ -40,6 +45,33 @@ class Files:
         finally:
             stream.close()
 
+    def create(self, path: str, value) -> bool:
+        """The file appears whole, under a name that nothing had, or not at all; False if the name is taken.
+
+        It is written aside (readers skip names with a leading dot) and moved into place by what the file system does in
+        one step: a hard link on a local disk, a rename without overwrite elsewhere.
+        """
+        folder, _, name = path.rpartition("/")
+        aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        self.write(aside, value)
+        p, fs = self._at(path)
+        try:
+            if fs.getUri().getScheme() == "file":
+                local = lambda x: self.jvm.java.io.File(x.toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(local(fs.makeQualified(p)), local(fs.makeQualified(self._at(aside)[0])))
+            else:
+                none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                array = self.jvm._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                array[0] = none
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(self._at(aside)[0], p, array)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(self._at(aside)[0], False)
+
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
         fs.delete(p, True)

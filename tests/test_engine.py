@@ -1,3 +1,4 @@
+import os
 import random
 import struct
 
@@ -226,11 +227,191 @@ def test_log_from_events(spark):
         assert sorted(a) == sorted(b)
 
 
-def test_auto_increment_is_gapless(spark):
+def test_auto_increment_is_gapless(spark, tmp_path):
     from pyspark.sql import functions as F
 
     from epochsql.operators import constraints as C
 
     df = spark.range(1000).select(F.lit(None).cast("int").alias("id"), F.col("id").alias("x"))
-    got = C.auto_increment(df, "id", 5, ["x"]).collect()
-    assert sorted(r["id"] for r in got) == list(range(6, 1006)) and all(r["id"] == r["x"] + 6 for r in got)
+    for aqe in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+        wide = df.repartition(7)
+        got = C.auto_increment(wide, "id", 5, ["x"], str(tmp_path / aqe)).collect()
+        assert sorted(r["id"] for r in got) == list(range(6, 1006)) and all(r["id"] == r["x"] + 6 for r in got)
+        ties = C.auto_increment(wide.withColumn("x", F.col("x") % 3), "id", 0, ["x"], str(tmp_path / f"ties{aqe}"))
+        got = sorted((r["id"], r["x"]) for r in ties.collect())
+        assert [i for i, _ in got] == list(range(1, 1001)) and [x for _, x in got] == sorted(x for _, x in got)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_auto_increment_over_many_ranges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from epochsql.operators import constraints as C
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    o = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").select(F.lit(None).cast("long").alias("id"), "o_orderkey")
+    for aqe in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        got = C.auto_increment(o, "id", 0, ["o_orderkey"], str(tmp_path / aqe))
+        want = [r[0] for r in o.select("o_orderkey").orderBy("o_orderkey").collect()]
+        assert [r[1] for r in sorted(got.collect())] == want and got.agg(F.max("id"), F.count_distinct("id")).first() == (len(want), len(want))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_keys_hold_between_sessions(s):
+    s.execute("CREATE TABLE p (id INT PRIMARY KEY, n INT);")
+    s.execute("CREATE TABLE c (id INT, p INT REFERENCES p (id));")
+    other = Session(s.spark, s.root)
+    s.execute("BEGIN;")
+    s.execute("INSERT INTO p VALUES (1, 10);")
+    other.execute("INSERT INTO p VALUES (1, 20);")
+    with pytest.raises(Conflict):
+        s.execute("COMMIT;")
+    assert rows(s, "SELECT * FROM p;") == [(1, 20)]
+    # a child against the deletion of its parent, in both orders
+    s.execute("BEGIN;")
+    s.execute("INSERT INTO c VALUES (5, 1);")
+    other.execute("DELETE FROM p WHERE id = 1;")
+    with pytest.raises(Conflict):
+        s.execute("COMMIT;")
+    s.execute("INSERT INTO p VALUES (2, 30);")
+    s.execute("BEGIN;")
+    s.execute("DELETE FROM p WHERE id = 2;")
+    other.execute("INSERT INTO c VALUES (6, 2);")
+    with pytest.raises(Conflict):
+        s.execute("COMMIT;")
+    assert rows(s, "SELECT * FROM p;") == [(2, 30)] and rows(s, "SELECT * FROM c;") == [(6, 2)]
+
+
+def test_a_statement_is_run_anew_after_anothers_commit(s, monkeypatch):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY AUTO_INCREMENT, v INT);")
+    other, publish, raced = Session(s.spark, s.root), s.db.publish, []
+
+    def late(*args):
+        if not raced:
+            raced.append(other.execute("INSERT INTO t (v) VALUES (1);"))
+        return publish(*args)
+
+    monkeypatch.setattr(s.db, "publish", late)
+    assert s.execute("INSERT INTO t (v) VALUES (2);").message == "INSERT 1"
+    assert rows(s, "SELECT * FROM t;") == [(1, 1), (2, 2)]
+
+
+def test_commit_files_are_whole_or_absent(s, monkeypatch):
+    s.execute("CREATE TABLE t (id INT);")
+    s.execute("INSERT INTO t VALUES (1);")
+    files, head = s.db.files, f"{s.db.path}/commits/{s.db.head():020d}.json"
+    assert not files.create(head, {"other": 1}) and "other" not in files.read(head)  # a taken name stays as it is
+    # a writer that dies while it writes leaves a file aside, which nobody reads
+    with open(f"{s.db.path}/commits/.{s.db.head() + 1:020d}.json.dead", "w") as f:
+        f.write('{"ts": ')
+    other = Session(s.spark, s.root)
+    assert rows(other, "SELECT * FROM t;") == [(1,)] and other.execute("INSERT INTO t VALUES (2);").message == "INSERT 1"
+    assert rows(s, "SELECT * FROM t;") == [(1,), (2,)]
+
+
+def test_row_ids_are_never_shared(s):
+    s.execute("CREATE TABLE t (id INT);")
+    s.register("many", s.spark.range(0, 5000, 1, 7))
+    for _ in range(3):
+        s.execute("INSERT INTO t SELECT id FROM many;")
+    df = s.db.log("t")
+    assert df.select("_rid").distinct().count() == df.count() == 15000
+
+
+def test_deep_cascades(s):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, up INT REFERENCES t (id) ON DELETE CASCADE);")
+    s.execute("INSERT INTO t VALUES " + ", ".join(f"({i}, {i - 1 if i else 'NULL'})" for i in range(40)) + ";")
+    assert s.execute("DELETE FROM t WHERE id = 0;").message == "DELETE 1"
+    assert rows(s, "SELECT * FROM t;") == []
+
+
+def test_alter_table(s):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, v INT, CHECK (v > 0));")
+    s.execute("INSERT INTO t VALUES (1, 10);")
+    then = s.db.commits()[s.db.head()]["ts"]
+    s.execute("CHECKPOINT;")
+    s.execute("3ADEL GADWAL t ADAF 3AMOD w GOMLA EFRADY 'x';")
+    s.execute("ALTER TABLE t RENAME id TO k;")
+    s.execute("INSERT INTO t VALUES (2, 20, 'y');")
+    assert rows(s, "SELECT * FROM t;") == [(1, 10, "x"), (2, 20, "y")]
+    s.execute("ALTER TABLE t DROP COLUMN w;")
+    s.execute("ALTER TABLE t ADD w INT;")
+    assert rows(s, "SELECT * FROM t WHERE w IS NULL;") == [(1, 10, None), (2, 20, None)]  # not the dropped column's values
+    assert rows(s, f"SELECT k, v FROM t AS OF {then};") == [(1, 10)]
+    s.execute("CHECKPOINT;")
+    assert len(rows(Session(s.spark, s.root), "SELECT * FROM t;")) == 2
+    for bad in ("DROP COLUMN k", "DROP COLUMN v", "RENAME v TO k", "ADD k INT", "DROP nobody", "ADD z INT NOT NULL"):
+        with pytest.raises(ExecutionError):
+            s.execute(f"ALTER TABLE t {bad};")
+
+
+def test_views_indexes_and_upkeep(s):
+    s.execute("CREATE TABLE t (a INT, b INT, c STRING);")
+    s.execute("INSERT INTO t VALUES (1, 1, 'x'), (1, 2, 'x'), (2, 1, NULL);")
+    then = s.db.commits()[s.db.head()]["ts"]
+    s.execute("CREATE VIEW v AS SELECT a, b FROM t WHERE a = 1;")
+    s.execute("CREATE UNIQUE INDEX i ON t (a, b);")
+    s.execute("CREATE UNIQUE INDEX j ON t (a) WHERE c = 'y';")
+    with pytest.raises(ExecutionError):
+        s.execute("CREATE UNIQUE INDEX k ON t (a);")
+    with pytest.raises(ExecutionError):
+        s.execute("INSERT INTO t VALUES (1, 2, 'z');")
+    s.execute("INSERT INTO t VALUES (1, 3, 'y');")
+    with pytest.raises(ExecutionError):
+        s.execute("INSERT INTO t VALUES (1, 4, 'y');")
+    assert rows(s, "SELECT * FROM v;") == [(1, 1), (1, 2), (1, 3)]
+    assert rows(s, f"SELECT * FROM v AS OF {then};") == [(1, 1), (1, 2)]
+    assert [r["Nulls"] for r in s.sql("ANALYZE TABLE t;").collect()] == [0, 0, 1]
+    s.execute("UPDATE t SET b = b * 2 + a - 1, c = 'q' WHERE a = 1;")
+    assert rows(s, "SELECT b FROM t WHERE c = 'q';") == [(2,), (4,), (6,)]
+    s.execute("TRUNCATE TABLE t;")
+    assert rows(s, "SELECT * FROM v;") == [] and s.sql("PRAGMA reject_empty_strings = TRUE;").first()[1] == "true"
+    s.execute("DROP VIEW v;")
+    s.execute("DROP TABLE t;")
+    s.execute("CREATE TABLE t (a INT);")
+    assert s.execute("VACUUM;").message == "VACUUM 1" and s.execute("VACUUM t;").message == "VACUUM 0"
+    s.db.vacuum(older_ms=0)
+    s.execute("INSERT INTO t VALUES (3);")
+    s.db.vacuum(older_ms=0)
+    assert rows(s, "SELECT * FROM t;") == [(3,)]
+
+
+def test_commits_are_compacted(s, monkeypatch):
+    from epochsql.sources import changelog
+
+    monkeypatch.setattr(changelog, "COMPACT_EVERY", 3)
+    s.execute("CREATE TABLE t (a INT);")
+    for i in range(7):
+        s.execute(f"INSERT INTO t VALUES ({i});")
+    other, read = Session(s.spark, s.root), []
+    inner = other.db.files.read
+    monkeypatch.setattr(other.db.files, "read", lambda p: read.append(p) or inner(p))
+    other.db._commits.clear()
+    assert other.db.head() == 7 and len(read) == 2
+    assert len(rows(other, "SELECT * FROM t;")) == 7
+
+
+def test_server_asks_for_a_login(s):
+    import socket
+    import threading
+
+    from epochsql.server import serve
+
+    with serve(lambda: Session(s.spark, s.root, user="", authenticated=False), port=0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        with socket.create_connection(server.server_address, timeout=60) as c, c.makefile("rwb") as f:
+
+            def ask(mode, text):
+                f.write(mode + struct.pack(">I", len(text)) + text)
+                f.flush()
+                return f.read(struct.unpack(">I", f.read(4))[0])
+
+            assert ask(b"Q", b"SHOW TABLES;").startswith(b"ERROR")
+            assert ask(b"L", b"root nonsense;").startswith(b"ERROR") and ask(b"L", b"root root;").startswith(b"LOGIN OK")
+            assert b'"success": true' in ask(b"J", b"WHOAMI;")
+        server.shutdown()

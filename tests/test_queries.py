@@ -78,3 +78,10 @@ def test_as_of_reads_no_later_files(spark, tmp_path):
     first = s.db.commits()[1]["ts"]
     df = s.db.as_of("t", first, "forward")
     assert len(df.inputFiles()) == 1 and df.count() == 1
+
+
+def test_forward_replay_filters_the_scan_and_moves_rows_once(spark):
+    for name in ("as_of_forward", "as_of_future"):
+        p = plan(Q.QUERIES[name](spark, DIR))
+        p = p[p.index("== Physical Plan ==") :]
+        assert "LessThanOrEqual(ts" in p and p.count("Exchange") == 1
