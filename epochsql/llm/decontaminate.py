@@ -1,16 +1,23 @@
 """Benchmark decontamination: training passages as queries against a BM25 inverted index of the test items.
 
-Every document is cut into overlapping passages, each a query of its distinct words. Retrieval returns *all* items whose
-BM25 score reaches a share of the score that the item gets from its own text. Postings hold each term's contribution
-divided by that threshold, so every item is retrieved at 1.0. As in block-max WAND, bounds come first: an upper bound
-of a passage over all items, then over blocks of items by block maxima, and only passages and blocks whose bound
-reaches 1.0 are scored. Bounds are sums of maxima, so nothing that reaches the threshold is skipped.
+Every document is cut into overlapping passages, each a query of its distinct words. An item is indexed twice, as a whole
+and by its question alone, so that an answer may stand anywhere in the document. Retrieval returns *all* entries whose BM25
+score reaches a share of the score that the entry gets from its own text. Postings hold each term's contribution divided
+by that threshold, so every entry is retrieved at 1.0.
+
+Retrieval is block-max WAND with a fixed threshold, turned from one passage at a time to all passages of a chunk at once.
+A passage ends where the sum of its terms' greatest contributions stays below 1.0. For the others the sums of block maxima
+are taken, a block being a range of entries, and postings outside the blocks that can reach 1.0 are skipped: a table has
+where each term's postings of each block begin. What is left is scored. Bounds are sums of maxima, so nothing that reaches
+the threshold is lost. (Cursors and pivots, passage by passage, gave the same pairs at over sixty times the cost: test items
+and texts share their words, so half of all passages pass the first bounds.)
 
 A retrieved pair counts once the item's question and answer are both found in the document: shares of their word
-5-grams. An item without a part of its own for the answer is split: its last third of words is the answer.
+5-grams, in the whole document. An item's last third of words is its answer, the words before it are its question.
 
-The index lives in each worker's memory. Test sets of more than ``block_items`` items are worked through in blocks of
-that many, each a pass over all documents, so memory stays bounded for any benchmark.
+Idf and mean length are taken over all items, and passages are as long as an entry's own class of lengths asks for, so
+what is found of an item depends on no other item but by idf, nor on how items are cut into blocks. A pass over the
+documents takes an index of PASS_BYTES of item texts at most in each worker's memory; larger test sets take more passes.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import Scratch, map_arrow, table
 from .textkit import CHUNK_BYTES, LETTER_OR_DIGIT, Lane, Words, chunks, string_column
 
 K1, B = 1.2, 0.75
@@ -31,9 +38,17 @@ SHARE = 0.6
 OVERLAP = 0.75
 GRAM = 5
 STRIDE_LEAST = 64
-BLOCKS = 32
-BLOCK_ITEMS = 20_000
+BLOCKS = 48
+PASS_BYTES = 16 << 20
 MARGIN = 1e-4
+SEED = 101
+_LANES: dict[int, Lane] = {}
+
+
+def _lane() -> Lane:
+    if SEED not in _LANES:
+        _LANES[SEED] = Lane(SEED)
+    return _LANES[SEED]
 
 
 def folded(text: pa.Array) -> pa.Array:
@@ -46,136 +61,193 @@ def bare_words(buf: np.ndarray, edges: np.ndarray) -> Words:
     return Words(np.where(LETTER_OR_DIGIT[buf], buf, np.uint8(32)), edges)
 
 
-class Index:
-    """Inverted index over items; term contributions are scaled so that an item is retrieved at 1.0."""
-
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, lane_seed: int = 101):
-        self.lane = Lane(lane_seed)
-        self.ids = np.array([i for i, _ in items], np.int64)
-        col = folded(pa.array([t for _, t in items], pa.large_string()))
-        buf, edges = string_column(col)
-        w = bare_words(buf, edges)
-        h = self.lane.words(w.buf, w.start, w.end)
-        n = len(items)
-        doc = np.repeat(np.arange(n), w.counts)
+def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a column of texts, and where each text's begin."""
+    w = bare_words(*string_column(folded(text)))
+    return _lane().words(w.buf, w.start, w.end), w.first
+
+
+def grams(h: np.ndarray, k: int = GRAM) -> np.ndarray:
+    return np.unique(_lane().windows(h, min(k, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
+def question_words(n: int) -> int:
+    return n - max(1, n // 3) if n > 1 else n
+
+
+class Statistics:
+    """Over all items: their number, their mean length, and in how many of them a term stands."""
+
+    def __init__(self, n: int, mean_length: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.terms, self.df = n, max(1.0, mean_length), terms, df
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+
+class Postings:
+    """The inverted index of entries of one class of lengths; contributions are scaled so that an entry is retrieved at 1.0."""
+
+    def __init__(self, entries: list[tuple[int, np.ndarray]], stride: int, stats: Statistics, share: float = SHARE):
+        self.stride = stride
+        self.entry_item = np.array([i for i, _ in entries], np.int64)
+        n, length = len(entries), np.array([len(h) for _, h in entries])
+        h = np.concatenate([h for _, h in entries])
         self.vocabulary, term = np.unique(h, return_inverse=True)
-        key, tf = np.unique(term * n + doc if n else term, return_counts=True)
-        term, doc = (key // n, key % n) if n else (key, key)
-        length = w.counts
-        df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, length.mean() if n else 1)))
-        own = np.bincount(doc, impact, n)
-        impact = impact / np.maximum(own * share, 1e-12)[doc]
-        self.term_edges = np.concatenate(([0], np.cumsum(df)))
-        self.item, self.impact = doc, impact
-        self.per_block = max(1, -(-n // BLOCKS))
-        self.block_max = np.zeros((len(self.vocabulary), max(1, -(-n // self.per_block))), np.float32)
-        np.maximum.at(self.block_max, (term, doc // self.per_block), impact)
+        key, tf = np.unique(term * n + np.repeat(np.arange(n), length), return_counts=True)
+        term, self.entry = key // n, key % n
+        impact = stats.idf(self.vocabulary)[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.entry] / stats.mean))
+        own = np.bincount(self.entry, impact, n)  # in the order of the terms' hashes, so the same in any index
+        self.impact = impact / np.maximum(own * share, 1e-12)[self.entry]
+        self.edges = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
         self.term_max = np.zeros(len(self.vocabulary))
-        np.maximum.at(self.term_max, term, impact)
-        longest = int(length.max()) if n else 0
-        self.stride = max(STRIDE_LEAST, longest)  # an item's copy of up to stride words lies whole in one passage
-        self.parts = [self._parts(h[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        np.maximum.at(self.term_max, term, self.impact)
+        # blocks are ranges of entries; for each term and block, its greatest contribution and its first posting
+        self.per_block = -(-n // BLOCKS)
+        blocks = -(-n // self.per_block)
+        cell = term * blocks + self.entry // self.per_block
+        self.block_max = np.zeros(len(self.vocabulary) * blocks, np.float32)
+        np.maximum.at(self.block_max, cell, np.nextafter(self.impact.astype(np.float32), np.float32(np.inf)))  # no bound is rounded down
+        self.block_max = self.block_max.reshape(-1, blocks)
+        self.begin = np.searchsorted(cell, np.arange(len(self.vocabulary) * blocks + 1)).astype(np.int32)
         slots = 1 << max(10, int(np.ceil(np.log2(8 * max(1, len(self.vocabulary))))))
         self.mask = np.zeros(slots, bool)
         self.mask[(self.vocabulary % np.uint64(slots)).astype(np.int64)] = True
 
-    def _parts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """5-grams of the question and of the answer (shorter parts: one gram)."""
-        cut = len(h) - max(1, len(h) // 3) if len(h) > 1 else len(h)
-        return tuple(np.unique(self.grams(x)) for x in (h[:cut], h[cut:]))
-
-    def grams(self, h: np.ndarray, k: int = GRAM) -> np.ndarray:
-        return self.lane.windows(h, min(k, len(h))) if len(h) else np.zeros(0, np.uint64)
-
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that the vocabulary has, and their term numbers."""
         maybe = np.flatnonzero(self.mask[(h % np.uint64(len(self.mask))).astype(np.int64)])
-        t = np.searchsorted(self.vocabulary, h[maybe])
-        t = np.minimum(t, max(0, len(self.vocabulary) - 1))
-        hit = self.vocabulary[t] == h[maybe] if len(self.vocabulary) else np.zeros(len(maybe), bool)
+        t = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
+        hit = self.vocabulary[t] == h[maybe]
         return maybe[hit], t[hit]
 
+    def passages(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (passage, term) pairs in order, and the first passage of each document."""
+        at, term = self.terms(h)
+        doc = np.searchsorted(w.first, at, "right") - 1
+        half = (at - w.first[doc]) // self.stride
+        base = np.concatenate(([0], np.cumsum(-(-w.counts // self.stride))))
+        number = base[doc] + half  # passage p covers half-passages p and p + 1 of its document
+        back, size = half > 0, len(self.vocabulary)
+        key = np.unique(np.concatenate([number, number[back] - 1]) * size + np.concatenate([term, term[back]]))
+        return key // size, key % size, base
+
     def retrieve(self, passage: np.ndarray, term: np.ndarray, n_passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (passage, item, score) with score >= 1, from distinct (passage, term) pairs."""
+        """All (passage, entry, score) with score >= 1, from distinct (passage, term) pairs in order."""
         limit = 1 - MARGIN  # sums in another order may differ by rounding
-        alive = np.bincount(passage, self.term_max[term], n_passages) >= limit
-        keep = alive[passage]
+        keep = (np.bincount(passage, self.term_max[term], n_passages + 1) >= limit)[passage]
         passage, term = passage[keep], term[keep]
-        # block maxima of the terms of the passages left
-        first = np.flatnonzero(np.diff(passage, prepend=-1))
-        if not len(first):
+        if not len(passage):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        good = np.add.reduceat(self.block_max[term], first) >= limit
-        row = np.cumsum(np.diff(passage, prepend=-1) > 0) - 1
-        # exact scores in the blocks left
-        keep = good.any(1)[row]
-        passage, term, row = passage[keep], term[keep], row[keep]
-        at, post = _spread(self.term_edges, term)
-        item, p = self.item[post], passage[at]
-        inside = good[row[at], item // self.per_block]
-        key = p[inside] * max(1, len(self.ids)) + item[inside]
-        keys, at = np.unique(key, return_inverse=True)
-        score = np.bincount(at, self.impact[post[inside]], len(keys)) if len(keys) else np.zeros(0)
+        new = np.diff(passage, prepend=-1) != 0
+        row, blocks = np.cumsum(new) - 1, self.block_max.shape[1]
+        good = np.add.reduceat(self.block_max[term], np.flatnonzero(new)) >= limit
+        # the postings of each term in the blocks that its passage may find something in
+        pair, block = np.nonzero(good[row])
+        cell = term[pair] * blocks + block
+        n = self.begin[cell + 1] - self.begin[cell]
+        some = np.flatnonzero(n)
+        n, first, at = n[some].astype(np.int64), self.begin[cell[some]].astype(np.int64), pair[some]
+        post = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        key = np.repeat(passage[at], n) * len(self.entry_item) + self.entry[post]
+        keys, back = np.unique(key, return_inverse=True)
+        score = np.bincount(back, self.impact[post], len(keys)) if len(keys) else np.zeros(0)
         ok = score >= limit
-        return keys[ok] // max(1, len(self.ids)), keys[ok] % max(1, len(self.ids)), score[ok]
+        return keys[ok] // len(self.entry_item), keys[ok] % len(self.entry_item), score[ok]
+
+
+class Index:
+    """Postings by classes of lengths, and the 5-grams of each item's question and answer."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], stats: Statistics, share: float = SHARE):
+        """items: (id, word hashes)."""
+        self.ids = [i for i, _ in items]
+        self.parts = [(grams(h[: question_words(len(h))]), grams(h[question_words(len(h)) :])) for _, h in items]
+        by_stride: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for n, (_, h) in enumerate(items):
+            for part in {len(h), question_words(len(h))} - {0}:
+                stride = STRIDE_LEAST  # a copy of up to stride words lies whole in one passage
+                while stride < part:
+                    stride *= 2
+                by_stride.setdefault(stride, []).append((n, h[:part]))
+        self.postings = [Postings(e, stride, stats, share) for stride, e in sorted(by_stride.items())]
 
     def matches(self, w: Words, h: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
         """(document, item, best score, question overlap, answer overlap) of all retrieved pairs."""
-        at, term = self.terms(h)
-        doc = np.searchsorted(w.first, at, "right") - 1
-        half = (at - w.first[doc]) // self.stride
-        n_half = -(-w.counts // self.stride)
-        base = np.concatenate(([0], np.cumsum(n_half)))
-        number = base[doc] + half  # passage p covers half-passages p and p + 1 of its document
-        back = half > 0
-        key = np.unique(np.concatenate([number, number[back] - 1]) * max(1, len(self.vocabulary)) + np.concatenate([term, term[back]]))
-        passage, term = key // max(1, len(self.vocabulary)), key % max(1, len(self.vocabulary))
-        p, item, score = self.retrieve(passage, term, int(base[-1]))
-        d = np.searchsorted(base, p, "right") - 1
-        order = np.lexsort((-score, item, d))
-        last = None
-        grams = {}
-        for i in order:
-            pair = (int(d[i]), int(item[i]))
-            if pair == last:
-                continue
-            last = pair
-            if pair[0] not in grams:
-                grams = {pair[0]: {}}
-            own = h[w.first[pair[0]] : w.first[pair[0] + 1]]
-            yield *pair, float(score[i]), *(self.overlap(part, own, grams[pair[0]]) for part in self.parts[pair[1]])
-
-    def overlap(self, part: np.ndarray, own: np.ndarray, cache: dict) -> float:
-        """The share of a part's grams that the document has. A part shorter than a gram is one gram of its length."""
-        return 1.0 if not len(part) else float(np.isin(part, self.sets(own, cache)).mean())
-
-    def sets(self, own: np.ndarray, cache: dict) -> np.ndarray:
-        if "g" not in cache:
-            cache["g"] = np.unique(np.concatenate([self.lane.windows(own, k) for k in range(1, GRAM + 1)]))
-        return cache["g"]
-
-
-def _spread(edges: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All postings of each term: (row of term, posting)."""
-    n = edges[term + 1] - edges[term] if len(term) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(term)), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, edges[term[row]] + at if len(row) else row
-
-
-def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The test items in the order of their ids, in lists of at most ``block_items``; null texts are left out."""
-    held: list[tuple[int, str]] = []
-    rows = items.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        held.append((r[0] if r[0] is not None else -1, r[1]))
-        if len(held) == block_items:
-            yield held
-            held = []
+        found: dict[tuple[int, int], float] = {}
+        for p in self.postings:
+            passage, term, base = p.passages(w, h)
+            passage, entry, score = p.retrieve(passage, term, int(base[-1]))
+            for doc, item, x in zip((np.searchsorted(base, passage, "right") - 1).tolist(), p.entry_item[entry].tolist(), score.tolist(), strict=True):
+                found[doc, item] = max(x, found.get((doc, item), 0.0))
+        last, own = None, None
+        for doc, item in sorted(found):
+            if doc != last:
+                words = h[w.first[doc] : w.first[doc + 1]]
+                last, own = doc, np.unique(np.concatenate([_lane().windows(words, k) for k in range(1, GRAM + 1)]))
+            yield doc, item, found[doc, item], *(overlap_of(part, own) for part in self.parts[item])
+
+
+def overlap_of(part: np.ndarray, own: np.ndarray) -> float:
+    """The share of a part's grams that the document has. A part shorter than a gram is one gram of its length."""
+    return 1.0 if not len(part) else float(np.isin(part, own).mean())
+
+
+def indexes(items: DataFrame, pass_bytes: int = PASS_BYTES, share: float = SHARE) -> Iterator[Index]:
+    """Indexes of all items with a text, in the order of their ids, each of about ``pass_bytes`` of texts at most."""
+    items = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def hashed(rows) -> list[tuple[int, np.ndarray]]:
+        h, first = hashed_words(pa.array([r[1] for r in rows], pa.large_string()))
+        return [(r[0], h[a:b]) for r, a, b in zip(rows, first[:-1], first[1:], strict=True)]
+
+    def counted(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.unique(h) for _, h in held]), return_counts=True)
+
+    ordered = items.orderBy("item_id", "text")
+    if total <= pass_bytes:
+        held = [x for x in hashed(ordered.collect()) if len(x[1])]  # pass_bytes of text at most
+        if held:
+            yield Index(held, Statistics(len(held), sum(len(h) for _, h in held) / len(held), *counted(held)), share)
+        return
+
+    def terms(batches):
+        for b in batches:
+            h, first = hashed_words(b.column(0))
+            item = np.repeat(np.arange(b.num_rows), np.diff(first))
+            n = np.diff(first)[item]
+            order = np.lexsort((h, item))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (item[order][1:] != item[order][:-1])
+            at = order[new]
+            first_of = np.diff(item[at], prepend=-1) != 0
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.where(first_of, n[at], 0)), pa.array(first_of)], names=["term", "words", "first"])
+
+    scratch = Scratch(items.sparkSession, "items")
+    one = map_arrow(items.select("text"), terms, "term long, words long, first boolean")
+    df = scratch.write(one.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"), F.count_if("first").alias("n")), "terms")
+    words, n = df.agg(F.sum("words"), F.sum("n")).first()
+
+    def index(held):
+        own = counted(held)[0]
+        asked = items.sparkSession.createDataFrame(pa.table({"term": own.view(np.int64)}))  # the terms of one pass
+        got = df.join(F.broadcast(asked), "term").select("term", "df").collect()
+        t = np.array([r[0] for r in got], np.int64).view(np.uint64)
+        order = np.argsort(t)
+        return Index(held, Statistics(n, words / n, t[order], np.array([r[1] for r in got])[order]), share)
+
+    held, size = [], 0
+    for r in ordered.toLocalIterator():
+        if held and size + len(r[1].encode()) > pass_bytes:
+            yield index(held)
+            held, size = [], 0
+        held += [x for x in hashed([r]) if len(x[1])]
+        size += len(r[1].encode())
     if held:
-        yield held
+        yield index(held)
+    scratch.drop_all()
 
 
 def found_in(index: Index, text: pa.Array, overlap: float = OVERLAP) -> Iterator[tuple[int, int, float, float, float]]:
@@ -183,21 +255,22 @@ def found_in(index: Index, text: pa.Array, overlap: float = OVERLAP) -> Iterator
     buf, edges = string_column(folded(text))
     for a, b in chunks(edges, CHUNK_BYTES // 2):
         w = bare_words(buf[edges[a] : edges[b]], edges[a : b + 1] - edges[a])
-        for d, i, s, q, r in index.matches(w, index.lane.words(w.buf, w.start, w.end)):
+        for d, i, s, q, r in index.matches(w, _lane().words(w.buf, w.start, w.end)):
             if q >= overlap and r >= overlap:
                 yield a + d, int(index.ids[i]), s, q, r
 
 
-def leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """A row per document and test item that it contains: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Null and empty texts and items match nothing; null ids stay null (a null item id becomes -1); repeated rows are
-    reported each; other columns are ignored; no items give no rows.
+    Null and empty texts and items match nothing; null ids stay null (a null item id becomes -1); repeated rows and
+    repeated items are reported each, with equal scores; other columns are ignored; no documents or no items give no rows.
+    Very long texts are read whole, all their passages, at about 40 bytes of memory for each of their bytes.
     """
     out = None
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    for block in item_blocks(items, block_items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))  # bounded by block_items
+    for built in indexes(items, pass_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(built)  # bounded by pass_bytes
 
         def run(batches, index=index):
             for b in batches:
@@ -210,11 +283,16 @@ def leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, block_ite
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs``, with all columns, that contain no test item."""
+def drop_leaking(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all columns whatever their names, that contain no test item.
+
+    Rows with null or empty texts stay, as do all rows if there are no items; ids are not looked at, so null and repeated
+    ones are no matter; each of repeated rows is judged by its own text, so they stay or go together; an empty table stays
+    empty.
+    """
     at = docs.columns.index("text")
-    for block in item_blocks(items, block_items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+    for built in indexes(items, pass_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches, index=index):
             for b in batches:
@@ -228,4 +306,5 @@ def drop_leaking(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, bl
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leaks`` of documents against benchmark; what it says of nulls, repeats and empty tables holds here."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
