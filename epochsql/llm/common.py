@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -92,13 +91,11 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: From here on an estimate means that Spark doesn't know.
-UNKNOWN_BYTES = 1 << 55
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a frame's size, from file sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def n_words(text: Column) -> Column:
@@ -109,7 +106,3 @@ def n_words(text: Column) -> Column:
 def n_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text as a long, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-
-
-def power_of_two(n: float, least: int = 1, most: int = 1 << 30) -> int:
-    return min(most, max(least, 1 << max(0, math.ceil(math.log2(max(1.0, n))))))

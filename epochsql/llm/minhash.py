@@ -2,7 +2,9 @@
 
 1. A document's shingle set is hashed once. The hash's top bits choose one of 128 bins, each bin keeps its smallest
    hash, and an empty bin borrows from the first full bin of an order of its own (optimal densification). Equal sets
-   form a class, which is one node from here on, so exact copies never meet each other.
+   form a class, which is one node from here on, so exact copies never meet each other. Sets are equal by 128 bits of
+   hashes: a class has the number of its first 64 bits, and where sets of two kinds share it (a pair in 2^64), the others
+   are given numbers of their own.
 2. Four bins make a band; classes that share a band share one of 32 buckets. At a similarity of 0.75 a pair shares no
    bucket with a chance of (1 - 0.75^4)^32, or 5 in a million.
 3. Candidate edges are stars: in each bucket one centre (the class with most bucket mates) is paired with the others.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, table
+from .common import Scratch, fresh, map_arrow, table
 from .textkit import Lane, Words, mix, word_chunks
 
 SHINGLE = 5
@@ -105,43 +107,65 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the whole set; null without words), bands and fine signature."""
+    """doc_id, key (a hash of id and text), n (set size), cls and other (hashes of the whole set; null without words), bands
+    and fine signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, w in word_chunks(b.column(1), lower=True):
+            for lo, hi, w in word_chunks(b.column(2), lower=True):
                 sets, edges = shingle_sets(w)
                 n = np.diff(edges)
-                cls, some = _classes(sets, edges), n > 0
+                (cls, other), some = _classes(sets, edges), n > 0
                 keys = bands_of(signatures(sets, edges))
                 fine = fine_signatures(sets, edges).tobytes()
                 none = pa.array(~some)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()), mask=none)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(cls.view(np.int64), mask=~some), lists, pa.array([fine[i : i + FINE] for i in range(0, len(fine), FINE)], pa.binary())], names=["doc_id", "n", "cls", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i)[lo:hi] for i in (0, 1)), pa.array(n), *(pa.array(x.view(np.int64), mask=~some) for x in (cls, other)), lists, pa.array([fine[i : i + FINE] for i in range(0, len(fine), FINE)], pa.binary())], names=["doc_id", "key", "n", "cls", "other", "bands", "signature"])
+
+    return map_arrow(_keyed(docs), run, "doc_id long, key long, n long, cls long, other long, bands array<long>, signature binary")
+
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, cls long, bands array<long>, signature binary")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key and text. Rows with one id or without one have keys of their own, unless their texts are the same."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
 
 
-def _classes(sets: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(sets) + 1, np.uint64)
-    np.cumsum(mix(sets ^ np.uint64(0xD6E8FEB86659FD93)), out=c[1:])
-    return mix(c[edges[1:]] - c[edges[:-1]] + np.diff(edges).astype(np.uint64))
+def _classes(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each whole set."""
+    out = []
+    for salt in (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25):
+        c = np.zeros(len(sets) + 1, np.uint64)
+        np.cumsum(mix(sets ^ np.uint64(salt)), out=c[1:])
+        out.append(mix(c[edges[1:]] - c[edges[:-1]] + np.diff(edges).astype(np.uint64)))
+    return out[0], out[1]
 
 
-def _sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """cls and its sorted shingle hashes, for the classes of ``need`` (cls, rep). Rows may repeat."""
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (with cls and other) with another cls for sets that only share their first 64 bits with a class."""
+    both = rows.groupBy("cls").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo != hi")
+    clash = [(r[0], r[1]) for r in both.select("cls", "lo").collect()]  # one for each pair of sets in 2^64
+    if not clash:
+        return rows
+    known = F.create_map(*[F.lit(x) for pair in clash for x in pair])
+    return rows.withColumn("cls", F.when(known[F.col("cls")] != F.col("other"), F.xxhash64("cls", "other")).otherwise(F.col("cls")))
+
+
+def _sets(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
+    """cls and its sorted shingle hashes, for the classes of ``reps`` (cls, and doc_id and key of one of its documents), a row
+    for each. ``repeated``: some rows of ``docs`` are the same in id and text."""
 
     def run(batches):
         for b in batches:
-            for _, _, w in word_chunks(b.column(0), lower=True):
+            for lo, hi, w in word_chunks(b.column(1), lower=True):
                 sets, edges = shingle_sets(w)
                 raw, cut = sets.tobytes(), (edges * 8).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(_classes(sets, edges).view(np.int64)), pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"), F.col("text").cast("string"))
-    reps = need.select(F.coalesce("rep", F.lit(-1)).alias("__id")).distinct()
-    found = map_arrow(texts.join(reps, "__id", "left_semi").select("text"), run, "cls long, hashes binary")
-    return found.join(need.select("cls"), "cls", "left_semi")
+    # a null id stands as 0 beside the key, which tells it from a real one
+    on = lambda x, *more: x.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key", *more)
+    texts = on(_keyed(docs), "text").join(on(reps, "cls"), ["doc_id", "key"]).select("cls", "text")
+    return map_arrow(texts.dropDuplicates(["cls"]) if repeated else texts, run, "cls long, hashes binary")
 
 
 def fine_signatures(sets: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -266,11 +290,13 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     """A row per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     Null and empty texts and texts of white space have no shingles and link to nothing. Repeated rows have one id and are
-    kept or not together. Null ids never name a component unless all ids in it are null. Other columns are ignored.
+    kept or not together. Null ids never name a component unless all ids in it are null. An empty table gives no rows. Other
+    columns are ignored. Very long texts are read whole, at about 40 bytes of memory for each of their bytes.
     """
     scratch = Scratch(spark, "near")
-    wide = scratch.write(sketch(docs), "sketch")
-    base = scratch.write(wide.select("doc_id", "n", "cls"), "sets")
+    sketched = scratch.write(sketch(docs), "sketch")
+    wide = _told_apart(sketched)
+    base = scratch.write(wide.select("doc_id", "key", "n", "cls"), "sets")
     buckets = wide.select("cls", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("bucket")
     mates = scratch.write(buckets.join(shared, "bucket", "left_semi").distinct(), "mates")
@@ -280,9 +306,11 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     mates = scratch.write(mates.join(score, "cls").drop("size"), "scored")
     need = scratch.write(score.select("cls"), "need")
     signs = scratch.write(wide.select("cls", "n", "signature", "bands").join(need, "cls", "left_semi").dropDuplicates(["cls"]), "signs")
-    scratch.drop(wide)
-    reps = base.select("cls", "doc_id").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    sets = scratch.write(_sets(docs, reps), "sets")
+    scratch.drop(sketched)
+    reps = base.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"))
+    reps = scratch.write(reps.join(need, "cls", "left_semi").select("cls", "rep.doc_id", "rep.key"), "reps")
+    repeated = not base.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
+    sets = scratch.write(_sets(docs, reps, repeated), "sets")
     centre = mates.groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("c")).select("bucket", F.col("c.cls").alias("b"), F.col("c.n").alias("n_b"))
     pairs = mates.withColumnRenamed("cls", "a").join(centre, "bucket")
     left = mates.join(centre.select("bucket", F.col("b").alias("cls")), ["bucket", "cls"], "left_anti")
@@ -293,7 +321,7 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     rest = scratch.write(between_components(left, first, signs, threshold).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     more = scratch.write(confirm(rest, sets, threshold), "links")
     comp = scratch.write(components(scratch, links.unionByName(more)), "components")
-    scratch.drop(sets, mates, signs, need, stars, links, first, rest, more)
+    scratch.drop(sets, reps, mates, signs, need, stars, links, first, rest, more)
     rows = base.select("doc_id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("cls", F.coalesce("comp", "cls"))
     lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("lowest"))
     rows = rows.join(lowest, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("lowest")))
@@ -303,11 +331,14 @@ def near_components(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, but those whose component another document stands for.
 
-    Rows without an id can't be told apart and stay.
+    Rows without an id can't be told apart and stay, and rows that share one id stay or go together. Documents without
+    words link to nothing and stay. An empty table stays empty. Names of other columns are no matter.
     """
-    gone = near_components(spark, docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = fresh(docs, "__gone")
+    gone = near_components(spark, docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_components`` of documents; what it says of nulls, repeats and empty tables holds here."""
     return near_components(spark, table(spark, sf_dir, "documents"))
