@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, table
+from .common import Scratch, fresh, n_words, table
 from .ranking import key_bucket, running, shuffle_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -59,8 +59,8 @@ class Mix:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, most: float = MOST):
         self.spark, self.block = spark, block
-        scratch = Scratch(spark, "mix")
-        rows = docs.select("doc_id", source_key(F.col("source")).alias("__source"), n_words(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("__key"))
+        scratch = self.scratch = Scratch(spark, "mix")
+        rows = docs.select("doc_id", source_key(F.col("source")).alias("__source"), n_words(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id"), F.col("text")).alias("__key"))
         rows = scratch.write(rows.withColumn("__bucket", key_bucket(F.col("__key"))), "rows")
         targets = source_targets(rows, weights, share, most)
         targets = targets.withColumn("__take", F.least(F.round("target"), most * F.col("source_size").cast("double")).cast("long"))
@@ -76,23 +76,28 @@ class Mix:
         self.schedule = self._schedule()
 
     def _slots(self) -> DataFrame:
-        """slot, __source and __turn: which of its source's slots it is. A source stops when its target is met."""
+        """slot, __source and __turn: which of its source's slots it is. A source stops when its target is met; the few
+        slots that a source is short of (its points are within a logarithm of its share) come behind all others."""
         total = self.targets.agg(F.coalesce(F.sum("__need"), F.lit(0))).first()[0]
+        if total > 1 << BITS:
+            raise ValueError(f"{total} slots are more than points of {BITS} bits can order")
         point = F.conv(F.reverse(F.lpad(F.bin("slot"), BITS, "0")), 2, 10).cast("double") / float(1 << BITS)
         points = self.spark.range(total).select(F.col("id").alias("slot")).withColumn("__u", point).withColumn("__cell", F.floor(F.col("__u") * CELLS).cast("int"))
         top = F.lit(CELLS - 1)
         cells = F.sequence(F.least(top, F.floor(F.col("__from") * CELLS).cast("int")), F.least(top, F.floor(F.col("__to") * CELLS).cast("int")))
         spans = self.targets.where("__to > __from").select("__source", "__from", "__to", F.explode(cells).alias("__cell"))
         found = points.join(spans, "__cell").where("__u >= __from and __u < __to").select("slot", "__source").withColumn("__chunk", F.expr(f"slot div {CHUNK}"))
+        found = self.scratch.write(found, "points")  # read several times below
         found = running(found, "__source", "__chunk", [F.col("slot")], F.lit(1), "__turn").drop("__chunk")
         have = found.groupBy("__source").agg(F.count(F.lit(1)).alias("__have"))
         short = self.targets.join(have, "__source", "left").select("__source", "__need", F.coalesce("__have", F.lit(0)).alias("__have")).where("__have < __need")
-        more = short.select(F.lit(None).cast("long").alias("slot"), "__source", F.explode(F.sequence(F.col("__have"), F.col("__need") - 1)).alias("__turn"))
+        more = short.select("__source", F.explode(F.sequence(F.col("__have"), F.col("__need") - 1)).alias("__turn"))
+        more = more.withColumn("slot", F.lit(total - 1) + F.row_number().over(Window.orderBy("__turn", "__source")))
         kept = found.join(self.targets.select("__source", "__need"), "__source").where("__turn < __need").drop("__need")
-        return kept.select("slot", "__source", "__turn").unionByName(more.select("slot", "__source", F.col("__turn").cast("long")))
+        return kept.select("slot", "__source", "__turn").unionByName(more.select(F.col("slot").cast("long"), "__source", F.col("__turn").cast("long")))
 
     def _schedule(self) -> DataFrame:
-        """slot (null: after all others), __source, pass, block, doc_id, __at, start (first word in the document), n_words."""
+        """slot, __source, pass, block, doc_id, __at, start (first word in the document), n_words."""
         b = self.block
         pieces = self.rows.where("size > 0").select("doc_id", "__source", "__at", "size", F.explode(F.sequence(F.expr(f"__at div {b}"), F.expr(f"(__at + size - 1) div {b}"))).alias("block"))
         slots = self.slots.join(self.targets.select("__source", "source_size", "__blocks", "__take"), "__source")
@@ -103,19 +108,21 @@ class Mix:
         return both.select("slot", "__source", "pass", "block", "doc_id", "__at", (start - F.col("__at")).alias("start"), "n_words")
 
     def taken(self) -> DataFrame:
-        """A row per document: doc_id, size, source_size, target, taken."""
-        sums = self.schedule.groupBy("__source", F.col("__at").alias("__from_at")).agg(F.sum("n_words").alias("taken"))
+        """A row per document: doc_id, size, source_size, target, taken, and the first slot that takes words of it."""
+        sums = self.schedule.groupBy("__source", F.col("__at").alias("__from_at")).agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
         rows = self.rows.withColumn("__from_at", F.when(F.col("size") > 0, F.col("__at")))
         rows = rows.join(sums, ["__source", "__from_at"], "left").join(self.targets.select("__source", "source_size", "target"), "__source")
-        return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document.
+    """doc_id, size, source_size, target, taken and first_slot of every document.
 
     Null texts and texts without words have size 0 and are never taken; null sources are one source, the last; null ids
     are shuffled as an empty id; repeated rows are documents of their own; an empty table gives no rows; other columns
-    are ignored. A source's taken words are its target, rounded.
+    are ignored. A source's taken words are its target, rounded. first_slot is the first place of the schedule that takes
+    words of the document, null if none does; ties are none, as a slot takes one block of one source. Very long texts are
+    counted whole and lie in as many blocks as they need.
     """
     return Mix(spark, table(spark, sf_dir, "documents")).taken()
 
@@ -123,18 +130,21 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it: taken words over size, rounded to whole copies.
 
-    Rows that share an id are taken alike. All columns of ``docs`` stay as they are.
+    Rows that share an id, or have none, are taken alike. All columns of ``docs`` stay as they are, whatever their names.
+    Null texts and texts without words are never taken; null sources are one source; an empty table stays empty.
     """
+    key, copy = fresh(docs, "__id"), fresh(docs, "__copy")
     taken = Mix(spark, docs).taken().groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    copies = taken.select("__id", F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int").alias("__copies")).where("__copies > 0")
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    copies = taken.select(F.col("__id").alias(key), F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int").alias(copy))
+    copies = copies.where(copies[copy] > 0)
+    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies[key]))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), both[copy]))).select(*[docs[c] for c in docs.columns])
 
 
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS k
   FROM documents),
 s AS (
   SELECT source, source IS NULL AS none, sum(size)::BIGINT AS source_size,
@@ -146,14 +156,36 @@ l AS (
       / sum(w) OVER (ORDER BY source_size / w, none, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s),
 t AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(w * (SELECT max(level) FROM l WHERE 2.0::DOUBLE * source_size > w * level), 2.0::DOUBLE * source_size))::DOUBLE AS target
+  SELECT source, none, source_size, least(2.0::DOUBLE * source_size, coalesce(w * (SELECT max(level) FROM l WHERE 2.0::DOUBLE * source_size > w * level), 2.0::DOUBLE * source_size))::DOUBLE AS target
   FROM l),
+n AS (
+  SELECT source, none, source_size, target, round(target)::BIGINT AS take, (source_size + 127) // 128 AS blocks,
+         CASE WHEN source_size = 0 THEN 0 ELSE round(target)::BIGINT // source_size * ((source_size + 127) // 128) + (round(target)::BIGINT % source_size + 127) // 128 END AS need,
+         CASE WHEN row_number() OVER (ORDER BY none DESC, source DESC) = 1 THEN 2.0::DOUBLE
+              ELSE sum(target) OVER (ORDER BY none, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(sum(target) OVER (), 0) END AS upto
+  FROM t),
+i AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY none, source), 0.0::DOUBLE) AS since FROM n),
+u AS (
+  SELECT slot, list_sum(list_transform(range(0, 40), lambda b: ((slot >> b::INTEGER) & 1)::DOUBLE / (1::BIGINT << (b::INTEGER + 1))::DOUBLE)) AS u
+  FROM (SELECT unnest(range(0, (SELECT coalesce(sum(need), 0)::BIGINT FROM n))) AS slot)),
+f AS (SELECT slot, source, none, row_number() OVER (PARTITION BY none, source ORDER BY slot) - 1 AS turn FROM u JOIN i ON u >= since AND u < upto),
+h AS (SELECT i.source, i.none, i.need, count(f.slot) AS have FROM i LEFT JOIN f ON f.none = i.none AND f.source IS NOT DISTINCT FROM i.source GROUP BY i.source, i.none, i.need),
+m AS (SELECT source, none, unnest(range(have, need)) AS turn FROM h WHERE have < need),
+k AS (
+  SELECT f.slot, f.source, f.none, f.turn FROM f JOIN n ON f.none = n.none AND f.source IS NOT DISTINCT FROM n.source WHERE f.turn < n.need
+  UNION ALL SELECT (SELECT sum(need)::BIGINT FROM n) - 1 + row_number() OVER (ORDER BY turn, none, source), source, none, turn FROM m),
 p AS (
-  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_it
-  FROM d)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-       CASE WHEN t.source_size = 0 THEN 0 ELSE
-         least(p.size, greatest(0, round(t.target)::BIGINT - p.before_it)) + least(p.size, greatest(0, round(t.target)::BIGINT - t.source_size - p.before_it))
-       END::BIGINT AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+  SELECT row_number() OVER () AS r, doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_it
+  FROM d),
+b AS (SELECT r, source, size, before_it, unnest(range(before_it // 128, (before_it + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0),
+z AS (
+  SELECT b.r, min(k.slot)::BIGINT AS first_slot
+  FROM k JOIN n ON k.none = n.none AND k.source IS NOT DISTINCT FROM n.source JOIN b ON b.source IS NOT DISTINCT FROM k.source AND b.block = k.turn % n.blocks
+  WHERE least(b.before_it + b.size, (b.block + 1) * 128, n.take - k.turn // n.blocks * n.source_size) > greatest(b.before_it, b.block * 128)
+  GROUP BY b.r)
+SELECT p.doc_id, p.size, n.source_size, n.target,
+       CASE WHEN n.source_size = 0 THEN 0 ELSE
+         least(p.size, greatest(0, n.take - p.before_it)) + least(p.size, greatest(0, n.take - n.source_size - p.before_it))
+       END::BIGINT AS taken, z.first_slot
+FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source LEFT JOIN z ON z.r = p.r
 """

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 
 
-def shuffle_key(seed: int, doc_id: Column) -> Column:
-    """md5 of "seed:id": a fixed shuffled order that any SQL engine can repeat."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def shuffle_key(seed: int, doc_id: Column, text: Column) -> Column:
+    """md5 of "seed:id:md5 of the text": a fixed shuffled order that any SQL engine can repeat. Rows without an id, or with
+    one id, have keys of their own as long as their texts differ."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit(""))))
 
 
 def key_bucket(key: Column) -> Column:
