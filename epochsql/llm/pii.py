@@ -29,7 +29,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 ROUNDS = 8
-KEY = b"replace this key in production"
+#: A setting of the session with the key; without one, the query (not the operator) takes a key that is no secret.
+KEY_SETTING = "spark.epochsql.pii.key"
+PUBLIC_KEY = b"a public key, for data that is no secret"
+#: Characters of an e-mail address's local part at most (RFC 5321).
+LOCAL_PART = 64
 KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date")
 
 
@@ -112,14 +116,32 @@ _FORMS = [
 _FORMS = [(kind, re.compile(form)) for kind, form in _FORMS]
 #: Where one of them may begin.
 _START = re.compile("|".join(["(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}", rf"(?:{_FREE}|(?<=[0-9]-))[0-9]", rf"{_FREE}[+(][0-9]"]))
-_EMAIL = re.compile(r"([^\W_](?:[\w.%+-]*[\w%+-])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})")
+#: Behind an @; labels have 63 characters at most, so a long run of letters is given up after as many.
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+_LOCAL = re.compile(r"[\w.%+-]")
+_LOCAL_START = re.compile(r"[^\W_]")
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _addresses(s: str) -> Iterator[tuple[int, int, int]]:
+    """Start, place of the @ and end of each e-mail address. From each @ the local part grows to the left, so that time
+    grows with the text; of a longer one the last LOCAL_PART characters count."""
+    done, at = 0, s.find("@")
+    while at >= 0:
+        if at > done and s[at - 1] != "." and (m := _DOMAIN.match(s, at + 1)):
+            low = at
+            while low > max(done, at - LOCAL_PART) and _LOCAL.match(s, low - 1):
+                low -= 1
+            if first := _LOCAL_START.search(s, low, at):
+                yield first.start(), at, m.end()
+                done = m.end()
+        at = s.find("@", at + 1)
+
+
 @dataclass(frozen=True)
 class Pseudonymiser:
-    key: bytes = KEY
+    key: bytes
 
     def _digits(self, kind: str, digits: str, back: bool) -> str:
         return str(feistel(self.key, f"{kind}/{len(digits)}", 10 ** len(digits))(int(digits), back)).zfill(len(digits))
@@ -239,13 +261,13 @@ class Pseudonymiser:
     def text(self, s: str, back: bool = False) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms in place of personal data, and how many of each kind were replaced."""
         found: dict[str, int] = {}
-        if "@" in s:
-
-            def mail(m):
-                found["email"] = found.get("email", 0) + 1
-                return f"{self.local_part(m[1], back)}@{m[2]}"
-
-            s = _EMAIL.sub(mail, s)
+        out, done = [], 0
+        for start, at, end in _addresses(s):
+            found["email"] = found.get("email", 0) + 1
+            out += s[done:start], self.local_part(s[start:at], back)
+            done = at
+        if out:
+            s = "".join([*out, s[done:]])
         if _DIGITS.search(s):
             out, done, at = [], 0, 0
             while m := _START.search(s, at):
@@ -263,8 +285,12 @@ class Pseudonymiser:
         return s, found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
-    """``docs`` with all its columns, texts pseudonymised. Null texts stay null; repeated rows are treated alike."""
+def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
+    """``docs`` with all its columns, whatever their names, texts pseudonymised.
+
+    Null and empty texts stay so; ids are not looked at; repeated rows are treated alike; an empty table stays empty; a very
+    long text is gone through once, in time that grows with its length.
+    """
     at = docs.columns.index("text")
     kind = docs.schema["text"].dataType
 
@@ -278,9 +304,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
     return map_arrow(docs, run, docs.schema)
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, n_replaced and n_<kind> for every kind. Null texts stay null, with counts of 0;
-    other columns are ignored."""
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
+    """doc_id, text with pseudonyms, n_replaced and n_<kind> for every kind. Null texts stay null, with counts of 0; null
+    and repeated ids stay as they are; repeated rows are reported each, alike; an empty table gives no rows; other columns
+    are ignored."""
     names = [f"n_{k}" for k in KINDS]
 
     def run(batches):
@@ -298,4 +325,5 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(table(spark, sf_dir, "documents"))
+    """``replaced`` of documents, with the key of the session's setting; what it says of odd rows holds here."""
+    return replaced(table(spark, sf_dir, "documents"), (spark.conf.get(KEY_SETTING, "") or "").encode() or PUBLIC_KEY)
