@@ -6,11 +6,13 @@ line number). ``line_dedup`` takes THRESHOLD where none is given, the query take
 1. Words are ordered by rarity. How common a word is, is read from a table of RARITY counts over all lines, into which
    words are hashed; its size is fixed, so it is carried in the plan. Any order gives right results, a rare-first one few
    candidates. A word becomes one number that sorts so: its class of commonness, then its hash.
-2. Lines with equal word sets form a class, which its earliest line stands for; the others go at once.
+2. Lines with equal word sets (by 128 bits of hashes) form a class, which its earliest line stands for; the others go at
+   once. A line is known by its document's id, a hash of id and text, and its number, so documents without an id, or with
+   one id, are told apart by their texts (the hash orders them); rows that are the same in id and text are one.
 3. Sets of size n that are similar enough share one of the first n - ceil(t n) + 1 words of each other. These prefixes
    make an index by word. Pairs must pass a length filter, a positional filter (the words after the shared one in both
-   sets must suffice), a bitmap filter (words are hashed into 64 bits; each bit that only one of the sets has is a word
-   that they don't share) and a count filter: words that two similar sets share lie in both prefixes, or behind one of them,
+   sets must suffice), a bitmap filter (words are hashed into 64 bits, each of which tells whether an odd number of the set's
+   words fell on it; each bit in which two sets differ is a word that they don't share) and a count filter: words that two similar sets share lie in both prefixes, or behind one of them,
    so the number of prefix words they share has a least value too.
 4. In each word's list one class (of the earliest document) is compared with the rest first, as a star, and lines that
    are removed by that are settled. Only classes that no star settles are compared with all of their lists. So a line of
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 THRESHOLD = (90, 100)
 NEAR = (75, 100)
@@ -48,9 +50,18 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
+ID = ("doc", "key")
+LINE = (*ID, "line_no")
+
+
+def _identity() -> list[Column]:
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(_LAST)).alias("doc"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("key")]
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc (never null), line_no, line; null ids come last."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line"))
+    """doc (never null), key, line_no, line; null ids come last."""
+    return docs.select(*_identity(), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line"))
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -75,9 +86,9 @@ def _enough(x: str, y: str, threshold: tuple[int, int]) -> Column:
     """Length, positional and bitmap filter of two sets that share a word at places at<x> and at<y> (from 0)."""
     t, whole = threshold
     a, b, at_a, at_b, bits_a, bits_b = (F.col(f"{c}{side}") for c in ("n", "at", "bits") for side in (x, y))
-    own_a, own_b = (F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in ((bits_a, bits_b), (bits_b, bits_a)))
-    most = F.least(F.least(at_a, at_b) + F.least(a - at_a, b - at_b), a - own_a, b - own_b)
-    return (F.least(a, b) * whole >= F.greatest(a, b) * t) & (most * (whole + t) >= (a + b) * t)
+    apart = F.bit_count(bits_a.bitwiseXOR(bits_b))  # words that only one has, at least
+    most = F.least(at_a, at_b) + F.least(a - at_a, b - at_b)
+    return (F.least(a, b) * whole >= F.greatest(a, b) * t) & ((a + b - apart) * (whole + t) >= 2 * (a + b) * t) & (most * (whole + t) >= (a + b) * t)
 
 
 def _prefix(n: Column, threshold: tuple[int, int]) -> Column:
@@ -94,19 +105,20 @@ def _pairs(matches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc, line_no of the lines to remove. Lines without words are no candidates."""
+    """doc, key and line_no of the lines to remove. Lines without words are no candidates."""
     t, whole = threshold
     scratch = Scratch(spark, "lines")
     lines = split_lines(docs)
     ranks = rarity(docs)
     size = F.size("keys")
-    keyed = lines.select("doc", "line_no", _keys(F.col("line"), ranks).alias("keys")).where(size > 0)
+    # what explode makes is a column, so the words are sorted once and not once for each place that they are used at
+    keyed = lines.select(*LINE, F.explode(F.array(_keys(F.col("line"), ranks))).alias("keys")).where(size > 0)
     prefix = F.slice("keys", F.lit(1), _prefix(size, threshold))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    known = scratch.write(keyed.select("doc", "line_no", F.xxhash64("keys").alias("cls"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits")), "lines")
-    first = F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("first")
-    classes = scratch.write(known.groupBy("cls").agg(first).select("cls", "first.*"), "classes")
-    firsts = classes.select("cls", "doc", "line_no")
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+    known = scratch.write(keyed.select(*LINE, F.xxhash64("keys").alias("cls"), F.xxhash64(F.lit(3), "keys").alias("other"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits")), "lines")
+    first = F.min(F.struct(*LINE, "n", "bits", "prefix")).alias("first")
+    classes = scratch.write(known.groupBy("cls", "other").agg(first).select("cls", "first.*"), "classes")
+    firsts = classes.select("cls", *LINE)
     able = classes.where(F.col("n") * whole >= (F.col("n") + 1) * t)  # a smaller set is similar enough to itself alone
     listed = lambda x: x.select("cls", "doc", "n", "bits", F.posexplode("prefix").alias("at", "word"))
     head = F.first(F.struct("cls", "n", "at", "bits")).over(Window.partitionBy("word").orderBy("doc", "cls").rowsBetween(Window.unboundedPreceding, 0))
@@ -119,14 +131,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, i
     more = _later(scratch, scratch.write(rest, "rest"), lines, ranks, firsts, threshold)
     gone = scratch.write(settled.unionByName(more).distinct(), "gone")
     scratch.drop(stars)
-    stay = known.select("doc", "line_no", "cls").join(firsts, ["cls", "doc", "line_no"], "left_semi").join(gone, "cls", "left_anti")
-    return known.select("doc", "line_no").join(stay.select("doc", "line_no"), ["doc", "line_no"], "left_anti")
+    stay = firsts.join(gone, "cls", "left_anti")
+    return known.select(*LINE).join(stay.select(*LINE), list(LINE), "left_anti")
 
 
 def _bitmap(where: DataFrame) -> Column:
     """The set of lines as an array literal of BITMAP longs, a bit for each hash value."""
-    h = F.xxhash64("doc", "line_no")
-    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int").alias("at"), F.expr("shiftleft(1L, cast(xxhash64(doc, line_no) & 63 as int))").alias("bit"))
+    h = F.xxhash64(*LINE)
+    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int").alias("at"), F.expr("shiftleft(1L, cast(xxhash64(doc, key, line_no) & 63 as int))").alias("bit"))
     longs = [0] * BITMAP
     for at, word in bits.groupBy("at").agg(F.bit_or("bit")).collect():  # BITMAP rows at most
         longs[at] = word
@@ -143,8 +155,9 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column,
     t, whole = threshold
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     where = scratch.write(firsts.join(need, "cls", "left_semi"), "where")
-    sets = scratch.write(lines.where(_in_bitmap(_bitmap(where), F.xxhash64("doc", "line_no"))).join(where, ["doc", "line_no"]).select("cls", "doc", "line_no", _keys(F.col("line"), ranks).alias("keys")), "sets")
-    side = lambda c: sets.select(F.col("cls").alias(c), F.struct("doc", "line_no").alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
+    found = lines.where(_in_bitmap(_bitmap(where), F.xxhash64(*LINE))).join(where, list(LINE)).dropDuplicates(["cls"])  # rows that are the same have the line each
+    sets = scratch.write(found.select("cls", *LINE, _keys(F.col("line"), ranks).alias("keys")), "sets")
+    side = lambda c: sets.select(F.col("cls").alias(c), F.struct(*LINE).alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     alike = both.where(shared * (whole + t) >= (F.size("keys_a") + F.size("keys_b")) * t)
@@ -152,15 +165,15 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column,
 
 
 def _gone(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """doc and, in order, the numbers of its removed lines; documents that lose none are left out."""
-    return repeated_lines(spark, docs, threshold).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    """doc, key and, in order, the numbers of its removed lines; documents that lose none are left out."""
+    return repeated_lines(spark, docs, threshold).distinct().groupBy(*ID).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
 def _counted(docs: DataFrame, gone: DataFrame, *more: str) -> DataFrame:
     """A row per document: doc_id, n_lines, removed (null for none) and further columns of ``docs``."""
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = docs.select("doc_id", *more, (F.coalesce(breaks, F.lit(0)) + 1).cast("int").alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
-    return rows.join(gone, "doc", "left")
+    rows = docs.select("doc_id", *more, (F.coalesce(breaks, F.lit(0)) + 1).cast("int").alias("n_lines"), *_identity())
+    return rows.join(gone, list(ID), "left")
 
 
 def _kept(text: str, removed: str) -> Column:
@@ -173,8 +186,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]
     """A row per document: doc_id, n_lines, n_removed and the numbers of the removed lines (from 0), in order.
 
     Null texts count as empty (one blank line). Lines without words stay. Documents with null ids are later than all
-    others and, among themselves, told apart by line numbers alone. Repeated rows have one id and are treated alike:
-    their lines don't remove each other. Other columns are ignored; an empty table gives no rows.
+    others; documents that share an id, or have none, come in the order of a hash of their texts. Rows that are the same in
+    id and text are one document: their lines don't remove each other, and all of them lose the same ones. Other columns are
+    ignored; an empty table gives no rows. Very long texts and lines are read whole.
     """
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return _counted(docs, _gone(spark, docs, threshold)).select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
@@ -187,12 +201,15 @@ def deduplicated(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int
     return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"), _kept("text", "removed").alias("kept_text"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with all columns and the lines that ``line_dedup`` found taken out of the texts; null texts stay null."""
-    lines = removed.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__removed")).dropDuplicates(["__id"])
-    both = docs.join(lines, docs["doc_id"].eqNullSafe(lines["__id"]), "left")
-    return both.withColumn("text", _kept("text", "__removed")).select(*docs.columns)
+def without_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = NEAR) -> DataFrame:
+    """``docs`` with all columns, whatever their names, and texts without repeated lines, as ``line_dedup`` finds them; null
+    texts stay null."""
+    names = {c: fresh(docs, f"__{c}") for c in (*ID, "removed")}
+    gone = _gone(spark, docs, threshold).select(*[F.col(c).alias(n) for c, n in names.items()])
+    both = docs.withColumns({names[c]: x for c, x in zip(ID, _identity(), strict=True)}).join(gone, [names[c] for c in ID], "left")
+    return both.withColumn("text", _kept("text", names["removed"])).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deduplicated`` documents; what ``line_dedup`` says of nulls, repeats and empty tables holds here."""
     return deduplicated(spark, table(spark, sf_dir, "documents"))
