@@ -268,6 +268,20 @@ def lines_brute(rows, t=90):
     return gone
 
 
+def ordered_brute(texts, t):
+    """The same for texts in order."""
+    seen, out = [], []
+    for text in texts:
+        out.append([])
+        for i, line in enumerate(text.split("\n")):
+            s = frozenset(words(line))
+            if s and any(100 * len(s & o) >= t * len(s | o) for o in seen):
+                out[-1].append(i)
+            if s:
+                seen.append(s)
+    return out
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     v = vocabulary(rng, 300)
@@ -292,14 +306,23 @@ def test_line_dedup(spark):
     for i, t in rows:
         assert list(found[i]["removed_lines"]) == want[i], i
         assert (found[i]["n_lines"], found[i]["n_removed"]) == (len((t or "").split("\n")), len(want[i]))
-    out = {r["doc_id"]: r["text"] for r in lines.without_lines(df, got).collect()}
+    out = {r["doc_id"]: r["text"] for r in lines.without_lines(spark, df.withColumn("__key", F.lit(1)), lines.THRESHOLD).collect()}
     for i, t in rows:
         assert out[i] == (t if t is None or not want[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]))
 
 
 def test_line_dedup_odd_rows(spark, docs, rows, empty):
-    got = lines.line_dedup(spark, docs)
-    assert got.count() == len(rows)
+    """Null ids, repeated ids and repeated rows: a row is known by its id and its text, in the order of id and a hash."""
+    odd = [(1, "a b c d"), (None, "x y z w"), (None, "a b c d"), (2, "a b c d\nq r s t"), (2, "q r s t\nk l m n"), (3, "k l m n\nown 1 2 3"), (3, "k l m n\nown 1 2 3"), (None, None), (None, ""), (4, None)]
+    for given in (odd, [(r[0], r[1]) for r in rows]):
+        df = spark.createDataFrame(given, "doc_id long, text string")
+        keyed = df.select("doc_id", "text", F.xxhash64("doc_id", "text")).collect()
+        places = sorted({((1 << 62) if i is None else i, k, t) for i, t, k in keyed if t})
+        want = {p[:2]: v for p, v in zip(places, ordered_brute([p[2] for p in places], 75), strict=True)}
+        expected = sorted((str(i), sorted(want.get(((1 << 62) if i is None else i, k), []))) for i, t, k in keyed)
+        got = lines.deduplicated(spark, df).collect()
+        assert sorted((str(r["doc_id"]), list(r["removed_lines"])) for r in got) == expected
+    assert lines.line_dedup(spark, docs).count() == len(rows)
     assert lines.line_dedup(spark, empty).count() == 0
 
 
