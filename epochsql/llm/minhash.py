@@ -164,7 +164,8 @@ def _sets(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
 
     # a null id stands as 0 beside the key, which tells it from a real one
     on = lambda x, *more: x.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key", *more)
-    texts = on(_keyed(docs), "text").join(on(reps, "cls"), ["doc_id", "key"]).select("cls", "text")
+    # a merge join at every size: the representatives grow with the documents
+    texts = on(_keyed(docs), "text").join(on(reps, "cls").hint("merge"), ["doc_id", "key"]).select("cls", "text")
     return map_arrow(texts.dropDuplicates(["cls"]) if repeated else texts, run, "cls long, hashes binary")
 
 
