@@ -19,27 +19,45 @@ from epochsql.llm.sharding import assign_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the ordinal classifier, fitted on the rated documents among them, rejects."""
+    """Without the documents that the ordinal classifier, fitted on the rated documents among them, rejects.
+
+    Null and empty texts stay, as they give no evidence; ids are only used to find ratings, so null ones are scored alike;
+    repeated rows stay or go together; without ratings all rows stay; an empty table stays empty.
+    """
     return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Documents without words and rows without an id stay; rows that share one id stay or go together; an empty table stays
+    empty.
+    """
     return keep_one_of_each(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold an item of the benchmark."""
+    """Without the documents that hold an item of the benchmark.
+
+    Null and empty texts stay; ids are not looked at; without items all rows stay; an empty table stays empty.
+    """
     return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: a row for each copy."""
+    """Documents as often as the mix of sources takes them: a row for each copy.
+
+    Null texts and texts without words have no share in the mix and go; null sources are one source; rows that share an id,
+    or have none, are taken alike; an empty table stays empty.
+    """
     return mix_documents(spark, docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each row in shards that all hold the mixture."""
+    """The place of each row in shards that all hold the mixture.
+
+    Null texts count as empty, null sources as one source; repeated rows have places of their own; an empty table gives no rows.
+    """
     return assign_shards(spark, docs)
 
 
