@@ -264,22 +264,26 @@ def confirm(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRE
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """node and comp (the component's smallest node), for the nodes of ``edges``, by alternating large and small stars."""
-    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
-    mark = None
+    """node and comp (the component's smallest node), for the nodes of ``edges`` (distinct pairs a < b), by alternating large
+    and small stars.
+
+    It is done once no node with a smaller neighbour has another one too: then each is a centre or hangs on one alone.
+    """
+    now = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    made = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = scratch.write(small.where("u != v").distinct(), "cc")
-        scratch.drop(now)
-        now = new
-        was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if was == mark:
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        if low.where("m < u and k > 1").isEmpty():
             tops = now.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
+        large = both.where("v > u").join(low.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        now = scratch.write(small.where("u != v").distinct(), "cc")
+        if made is not None:
+            scratch.drop(made)
+        made = now
 
 
 def _alike(x: str, y: str, threshold: tuple[int, int] = THRESHOLD):

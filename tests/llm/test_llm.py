@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochsql.llm import decontaminate, jpeg, lines, media, minhash, mixing, pii, quality, sharding, substring, textkit, token_output
+from epochsql.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -248,6 +249,24 @@ def test_minhash_chains(spark):
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == near_brute(rows)
 
 
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_components(spark, shape):
+    rng = np.random.default_rng(5)
+    edges = {
+        "path": {(i, i + 1) for i in range(40)},
+        "star": {(0, i) for i in range(1, 30)} | {(100, 101)},
+        "random": {tuple(sorted(map(int, rng.choice(60, 2, replace=False)))) for _ in range(45)},
+        "none": set(),
+    }[shape]
+    lowest = {x: x for e in edges for x in e}
+    for _ in lowest:
+        for a, b in edges:
+            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    df = spark.createDataFrame(list(edges), "a long, b long")
+    got = minhash.components(Scratch(spark, "test"), df).collect()
+    assert len(got) == len(lowest) and {(r.node, r.comp) for r in got} == set(lowest.items())
+
+
 def test_minhash_of_nothing(spark, empty):
     assert minhash.near_components(spark, empty).count() == 0
 
