@@ -19,6 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2000
 
 
+def trim_memory() -> None:
+    """Gives the free memory of this Python process back."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow in batches of BATCH_ROWS at most; at a task's end its worker gives its free memory back.
 
@@ -32,10 +40,7 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim_memory()
 
     return df.mapInArrow(then_trim, schema)
 

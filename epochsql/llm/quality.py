@@ -4,13 +4,15 @@ A document's score is one linear function of hashed text features; ordered thres
 P(grade >= k) = sigmoid(score - threshold_k). The weights are shared by all thresholds, so a document that is likely
 to reach a high grade is likelier still to reach the lower ones. Selection uses the tail probability of a grade.
 
-Ratings are 0 (toxic), 1 (poor) and 2 (good). The model is fitted on the driver, on at most ``max_rated`` rated
-documents (those whose ids hash lowest) and at most ``max_bytes`` of their texts; all documents are scored. Where their texts
-have more bytes, the longest are read up to a common length, so no rated document leaves the sample for another's length.
+Ratings are 0 (toxic), 1 (poor) and 2 (good). The model is fitted on the driver, on the whole texts of at most ``max_rated``
+rated documents (those whose ids hash lowest); all documents are scored. Executors read these texts twice: once to count
+in how many of them, and with what grades, each column occurs, and once for their values in the telling columns, the only
+ones that get a weight. So texts of any length can be read, and the driver gets no column that the fit would leave out.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, n_bytes, table
+from .common import map_arrow, table, trim_memory
 from .textkit import Lane, Words, mix, word_chunks
 
 DIMS = 1 << 18
@@ -93,20 +95,49 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - sums[:, None], -40, 40)))
 
 
-def fit(edges: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, least: int = 5, telling: float = 4.0, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
+LEAST, TELLING = 5, 4.0
+FIT_VALUES = 1 << 23  # of a block of the fit
+
+
+def telling_columns(times: np.ndarray, sums: np.ndarray, of_grade: np.ndarray, least: int = LEAST, telling: float = TELLING) -> np.ndarray:
+    """Which columns get a weight, from the number of rated documents that have each, the sum of their grades, and the number
+    of documents of each grade: those of ``least`` documents or more, whose mean grade lies ``telling`` standard errors or more
+    from the mean of all; and the side features."""
+    n, grade = max(1, of_grade.sum()), np.arange(len(of_grade))
+    mean = (of_grade * grade).sum() / n
+    deviation = np.sqrt((of_grade * (grade - mean) ** 2).sum() / n)
+    chosen = (times >= least) & (np.abs(sums - times * mean) >= telling * deviation * np.sqrt(times))
+    chosen[DIMS - _SIDE :] = True
+    return chosen
+
+
+def fit(edges: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, least: int = LEAST, telling: float = TELLING, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, chosen: np.ndarray | None = None) -> Model:
     """Maximum likelihood with weight decay by full-batch Adam; thresholds are kept in order. Deterministic.
 
-    Only telling columns get a weight: those of ``least`` rated documents or more, whose mean grade lies ``telling``
-    standard errors or more from the mean of all; and the side features.
+    Only ``telling_columns`` get a weight. ``chosen`` are these, where the rows given hold no others.
     """
     n = len(grade)
-    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))
-    times = np.bincount(col, minlength=DIMS)
-    off = np.bincount(col, (grade - grade.mean()).astype(np.float32)[doc], DIMS) if n else np.zeros(DIMS)
-    chosen = (times >= least) & (np.abs(off) >= telling * (grade.std() if n else 1) * np.sqrt(times))
-    chosen[DIMS - _SIDE :] = True
-    doc, col, value = doc[chosen[col]], col[chosen[col]], value[chosen[col]]
-    used, at = np.unique(col, return_inverse=True)
+    if chosen is None:
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))
+        chosen = telling_columns(np.bincount(col, minlength=DIMS), np.bincount(col, grade[doc], DIMS), np.bincount(grade, minlength=grades), least, telling)
+        keep = chosen[col]
+        edges, col, value = np.concatenate(([0], np.cumsum(keep)))[edges], col[keep], value[keep]
+    used = np.zeros(DIMS, bool)
+    for i in range(0, len(col), FIT_VALUES):
+        used[col[i : i + FIT_VALUES]] = True
+    place = np.cumsum(used) - 1
+    used = np.flatnonzero(used)
+    cuts, to = [0], 0  # documents in blocks of FIT_VALUES values, or one document
+    while to < n:
+        to = min(n, max(to + 1, int(np.searchsorted(edges, edges[to] + FIT_VALUES, "right")) - 1))
+        cuts.append(to)
+
+    def block(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(edges[lo : hi + 1])), place[col[edges[lo] : edges[hi]]], np.asarray(value[edges[lo] : edges[hi]])
+
+    ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
+    held = [block(0, n)] if len(ranges) == 1 else None  # more than one are made in each round anew, so memory is bounded
+    blocks = lambda: zip(ranges, held or (block(*r) for r in ranges), strict=True)
     x = np.zeros(len(used) + grades - 1)
     share = np.array([(grade >= k).mean() for k in range(1, grades)]).clip(0.01, 0.99) if n else np.full(grades - 1, 0.5)
     x[len(used) :] = np.sort(np.log((1 - share) / share))
@@ -116,7 +147,7 @@ def fit(edges: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, rounds * (n > 0) + 1):
         w, b = x[: len(used)], x[len(used) :]
-        s = np.bincount(doc, w[at] * value, n)
+        s = np.concatenate([np.bincount(doc, w[at] * val, hi - lo) for (lo, hi), (doc, at, val) in blocks()])
         upper = sig(s[:, None] - np.concatenate(([-40.0], b))[None, :])  # P(grade >= k)
         tail = np.concatenate([upper, np.zeros((n, 1))], 1)
         here, up, lo = tail[np.arange(n), grade], tail[np.arange(n), grade + 1], None
@@ -124,7 +155,9 @@ def fit(edges: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray
         d_here, d_up = here * (1 - here), up * (1 - up)
         g_s = -weight * (d_here - d_up) / p
         g = np.zeros_like(x)
-        g[: len(used)] = np.bincount(at, g_s[doc] * value, len(used)) / n + decay * w
+        for (lo, hi), (doc, at, val) in blocks():
+            g[: len(used)] += np.bincount(at, g_s[lo:hi][doc] * val, len(used))
+        g[: len(used)] = g[: len(used)] / n + decay * w
         for k in range(1, grades):
             g[len(used) + k - 1] = (np.sum((weight * d_here / p)[grade == k]) - np.sum((weight * d_up / p)[grade + 1 == k])) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -145,6 +178,7 @@ def rated_sample(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED)
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__grade").alias("grade"))
 
 
+# ``train`` cuts no text; the next two functions are for those who want texts of bounded length.
 def common_length(sizes: list[int], most: int) -> int | None:
     """The greatest length to which texts of these sizes can be cut so that ``most`` bytes remain in all; None: no cut."""
     if sum(sizes) <= most:
@@ -167,29 +201,66 @@ def _beginning(text: str | None, length: int) -> str | None:
     return raw[:end].decode(errors="ignore")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, max_bytes: int = MAX_BYTES) -> Model:
-    """Fits the model on the driver. In a sample whose texts exceed ``max_bytes``, the longest count by their beginnings."""
-    sample = rated_sample(docs, labels, max_rated)
-    length = common_length([n for (n,) in sample.select(n_bytes(F.col("text"))).collect()], max_bytes)  # max_rated numbers
-    parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, text, grade): for each column the documents that have it and the sum of their grades. Numbers from
+    DIMS on count the documents of each grade."""
+    times, sums = np.zeros(DIMS + GRADES, np.int64), np.zeros(DIMS + GRADES, np.int64)
+    for b in batches:
+        grade = b.column(2).to_numpy(zero_copy_only=False)
+        times[DIMS:] += np.bincount(grade, minlength=GRADES)
+        for lo, hi, w in word_chunks(b.column(1)):
+            edges, col, _ = features(w)
+            times[:DIMS] += np.bincount(col, minlength=DIMS)
+            sums[:DIMS] += np.bincount(col, np.repeat(grade[lo:hi], np.diff(edges)), DIMS).astype(np.int64)
+    used = np.flatnonzero(times)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(times[used]), pa.array(sums[used])], names=["col", "times", "sums"])
+
+
+def _rows(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """doc_id, grade and the chosen columns of each document, in the order of the ids' hashes."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(1)
-            if length is not None:
-                text = pa.array([_beginning(t, length) for t in text.to_pylist()], text.type)
-            for lo, hi, w in word_chunks(text):
+            for lo, hi, w in word_chunks(b.column(1)):
                 edges, col, value = features(w)
+                keep = chosen[col]
+                edges, col, value = np.concatenate(([0], np.cumsum(keep)))[edges], col[keep], value[keep]
                 cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], cut(col.astype(np.int32)), cut(value.astype(np.float32))], names=["doc_id", "grade", "col", "value"])
 
-    rows = map_arrow(sample, extract, "doc_id long, grade int, col binary, value binary").orderBy(F.xxhash64("doc_id"), "doc_id")
-    for r in rows.toLocalIterator():
-        parts.append((r.grade, np.frombuffer(r.col, np.int32), np.frombuffer(r.value, np.float32)))
-    if not parts:
+    return map_arrow(sample, extract, "doc_id long, grade int, col binary, value binary").orderBy(F.xxhash64("doc_id"), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits the model on the driver, on the whole texts of the sample.
+
+    Beyond ``max_bytes`` the documents' chosen columns are not held in memory but in a file, which the fit reads as an array.
+    """
+    sample = rated_sample(docs, labels, max_rated)
+    counts = map_arrow(sample, _counts, "col int, times long, sums long").groupBy("col").agg(F.sum("times").alias("times"), F.sum("sums").alias("sums")).toArrow()
+    times, sums = np.zeros(DIMS + GRADES, np.int64), np.zeros(DIMS + GRADES, np.int64)
+    at = counts["col"].to_numpy()
+    times[at], sums[at] = counts["times"].to_numpy(), counts["sums"].to_numpy()
+    if not times[DIMS:].any():
         return Model(np.zeros(DIMS, np.float32), np.full(GRADES - 1, -40.0))  # nothing is rated: everything is kept
-    edges = np.concatenate(([0], np.cumsum([len(p[1]) for p in parts])))
-    return fit(edges, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.array([p[0] for p in parts]))
+    chosen = telling_columns(times[:DIMS], sums[:DIMS], times[DIMS:])
+    n, grade, edges = int(times[DIMS:].sum()), [], [0]
+    size = int(times[:DIMS][chosen].sum())
+    with tempfile.TemporaryFile() as where:
+        made = (lambda dtype, offset: np.memmap(where, dtype, "r+", offset, (size,))) if 8 * size > max_bytes else (lambda dtype, offset: np.empty(size, dtype))
+        where.truncate(8 * size)
+        col, value = made(np.int32, 0), made(np.float32, 4 * size)
+        for r in _rows(sample, chosen).toLocalIterator():
+            to = edges[-1] + len(r.col) // 4
+            col[edges[-1] : to], value[edges[-1] : to] = np.frombuffer(r.col, np.int32), np.frombuffer(r.value, np.float32)
+            grade.append(r.grade)
+            edges.append(to)
+        if (len(grade), edges[-1]) != (n, size):
+            raise RuntimeError("the documents changed while they were read")
+        model = fit(np.array(edges), col, value, np.array(grade), chosen=chosen)
+    del col, value
+    trim_memory()
+    return model
 
 
 def tails_of(model: Model, text: pa.Array) -> np.ndarray:

@@ -649,6 +649,17 @@ def test_size_of_the_rated_sample(spark):
     assert quality.MAX_BYTES == 48 << 20
 
 
+def test_quality_reads_rated_texts_to_their_end(spark):
+    plain = " ".join(f"w{i % 50}" for i in range(400))
+    rows = [(i, plain + (" lovely" if i % 2 else " dreadful"), i % 2, 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    labels = df.select("doc_id", "quality", "toxic")
+    models = [quality.train(df.select("doc_id", "text"), labels, max_bytes=most) for most in (1000, quality.MAX_BYTES)]
+    assert (models[0].weights == models[1].weights).all()  # held in a file, and in memory
+    held = spark.createDataFrame([(1, "dreadful " + plain), (2, plain + " lovely")], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in quality.score(held, models[0]).collect()} == {1: False, 2: True}
+
+
 def test_common_length():
     assert quality.common_length([5, 3, 9], 17) is None and quality.common_length([], 0) is None
     for sizes, most, length in (([5, 3, 9], 16, 8), ([5, 3, 900], 12, 4), ([100, 100, 1], 11, 5), ([50], 7, 7)):
