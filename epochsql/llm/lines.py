@@ -24,14 +24,18 @@ line number). ``line_dedup`` takes THRESHOLD where none is given, the query take
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, table
+from .common import WORD, Scratch, fresh, table
 
 THRESHOLD = (90, 100)
 NEAR = (75, 100)
-RARITY = 1 << 16
+RARITY = 1 << 20
+SHORT = 48  # entries of a list that are all compared with each other at once
 BITMAP = 1 << 16  # longs
 _BREAKS = r"[\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
@@ -65,21 +69,28 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """For each of RARITY buckets of word hashes, how often words of it occur in all texts, as half powers of two: an array literal."""
-    words = docs.select(F.explode(F.split("text", _BREAKS)).alias("w")).select(F.xxhash64("w").alias("h"))
+    """For each of RARITY buckets of word hashes, how often words of it occur in all texts, as half powers of two: a byte each of a binary literal."""
+    words = split_lines(docs).select(F.explode(_split(F.col("line"))).alias("w")).select(F.xxhash64("w").alias("h"))
     counts = words.groupBy(F.col("h").bitwiseAND(RARITY - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = counts.select("b", F.least(F.lit(62), F.floor(2 * F.log2("n"))).cast("int").alias("r")).collect()  # RARITY rows at most
-    table_ = [0] * RARITY
-    for b, r in ranks:
-        table_[b] = r
-    return F.split(F.lit(",".join(map(str, table_))), ",").cast("array<int>")  # folded to one literal
+    both = F.col("b").cast("long") * 64 + F.least(F.lit(62), F.floor(2 * F.log2("n")))
+    rows = counts.groupBy(F.pmod("b", F.lit(1024)).alias("part")).agg(F.array_join(F.collect_list(both.cast("string")), ",").alias("all")).collect()  # 1024 rows
+    table_ = np.zeros(RARITY, np.uint8)
+    for _, part in rows:
+        found = np.array(part.split(","), np.int64)
+        table_[found >> 6] = found & 63
+    return F.lit(bytearray(table_.tobytes()))
 
 
 def _keys(line: Column, ranks: Column) -> Column:
     """The line's words, rarest first, as numbers."""
+
+    def key(h: Column) -> Column:
+        at = h.bitwiseAND(RARITY - 1).cast("int") + 1
+        rank = F.ascii(F.call_function("substring", ranks, at, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
     # sort_array sorts longs as such; array_sort would call a comparator expression for each two words
-    rank = lambda h: F.coalesce(ranks[h.bitwiseAND(RARITY - 1).cast("int")], F.lit(0))
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    return F.sort_array(F.transform(_hashes(line), key))
 
 
 def _enough(x: str, y: str, threshold: tuple[int, int]) -> Column:
@@ -104,34 +115,74 @@ def _pairs(matches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return counted.where((F.col("c") + behind) * (whole + t) >= (a + b) * t).select("a", "b")
 
 
+def _cleaning(spark: SparkSession):
+    """Within it, what a written table was shuffled through is deleted as soon as the table is there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    @contextmanager
+    def held():
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, before)
+
+    return held()
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc, key and line_no of the lines to remove. Lines without words are no candidates."""
+    with _cleaning(spark):
+        return _repeated_lines(spark, docs, threshold)
+
+
+def _repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     t, whole = threshold
     scratch = Scratch(spark, "lines")
     lines = split_lines(docs)
     ranks = rarity(docs)
     size = F.size("keys")
-    # what explode makes is a column, so the words are sorted once and not once for each place that they are used at
-    keyed = lines.select(*LINE, F.explode(F.array(_keys(F.col("line"), ranks))).alias("keys")).where(size > 0)
-    prefix = F.slice("keys", F.lit(1), _prefix(size, threshold))
+    # a filter on the words would be pushed below and would make them twice
+    keyed = lines.where(F.col("line").rlike(WORD)).select(*LINE, _keys(F.col("line"), ranks).alias("keys"))
+    # words of the index are told apart by 31 bits: those that share them only make lists longer
+    prefix = F.transform(F.slice("keys", F.lit(1), _prefix(size, threshold)), lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     known = scratch.write(keyed.select(*LINE, F.xxhash64("keys").alias("cls"), F.xxhash64(F.lit(3), "keys").alias("other"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits")), "lines")
     first = F.min(F.struct(*LINE, "n", "bits", "prefix")).alias("first")
-    classes = scratch.write(known.groupBy("cls", "other").agg(first).select("cls", "first.*"), "classes")
-    firsts = classes.select("cls", *LINE)
+    classes = scratch.write(known.groupBy("cls", "other").agg(first).select("first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
+    firsts = classes.select("id", *LINE)
     able = classes.where(F.col("n") * whole >= (F.col("n") + 1) * t)  # a smaller set is similar enough to itself alone
-    listed = lambda x: x.select("cls", "doc", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    head = F.first(F.struct("cls", "n", "at", "bits")).over(Window.partitionBy("word").orderBy("doc", "cls").rowsBetween(Window.unboundedPreceding, 0))
-    near = listed(able).withColumn("h", head).select(F.col("h.cls").alias("a"), F.col("h.n").alias("n_a"), F.col("h.at").alias("at_a"), F.col("h.bits").alias("bits_a"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
-    stars = scratch.write(_pairs(near.where("a != b").where(_enough("_a", "_b", threshold)), threshold), "stars")
-    settled = scratch.write(_later(scratch, stars, lines, ranks, firsts, threshold), "settled")
-    open_ = listed(able.join(settled, "cls", "left_anti")).toDF("b", "doc_b", "n_b", "bits_b", "at_b", "word")
-    rest = listed(able).toDF("a", "doc_a", "n_a", "bits_a", "at_a", "word").join(open_, "word").where("a != b and doc_a <= doc_b").where(_enough("_a", "_b", threshold))
-    rest = _pairs(rest, threshold).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti")
-    more = _later(scratch, scratch.write(rest, "rest"), lines, ranks, firsts, threshold)
-    gone = scratch.write(settled.unionByName(more).distinct(), "gone")
-    scratch.drop(stars)
-    stay = firsts.join(gone, "cls", "left_anti")
+    listed = able.select("id", "doc", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    one = F.struct("id", "doc", "n", "at", "bits")
+    order = Window.partitionBy("word").orderBy("doc", "id")
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = listed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("size > 1")
+    earlier = F.collect_list(F.when(F.col("size") <= SHORT, one)).over(order.rowsBetween(1 - SHORT, -1))
+    head = F.when(F.col("size") > SHORT, F.first(one).over(up_to))
+    # a list's entry meets the entries before it, or the first one alone; entries of long lists are kept besides
+    met = listed.withColumn("met", F.when(F.col("size") > SHORT, F.array(head, F.lit(None))).otherwise(earlier))
+    met = met.select("word", "size", *[F.col(c).alias(f"{c}_b") for c in ("id", "doc", "n", "at", "bits")], F.explode("met").alias("x"))
+    met = met.select("word", "size", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("id", "doc", "n", "at", "bits")], *[f"{c}_b" for c in ("id", "doc", "n", "at", "bits")])
+    met = scratch.write(met.where(F.col("id_a").isNull() | ((F.col("id_a") != F.col("id_b")) & _enough("_a", "_b", threshold))), "met")
+    pair = [F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b"]
+    stars = scratch.write(_pairs(met.where(F.col("id_a").isNotNull() & (F.col("size") > SHORT)).select(*pair), threshold), "stars")
+    settled = _later(scratch, stars, lines, ranks, firsts, threshold)
+    gone_ = lambda c: settled.select(F.col("id").alias(f"id{c}"), F.lit(True).alias(f"gone{c}"))
+    open_ = "(doc_a < doc_b and gone_b is null) or (doc_a = doc_b and id_a < id_b and (gone_a is null or gone_b is null))"
+    near = met.where(F.col("id_a").isNotNull() & (F.col("size") <= SHORT)).join(gone_("_a"), "id_a", "left").join(gone_("_b"), "id_b", "left")
+    long = met.where(F.col("id_a").isNull()).select("word", *[f"{c}_b" for c in ("id", "doc", "n", "at", "bits")]).join(gone_("_b"), "id_b", "left")
+    side = long.withColumnsRenamed({c: c[:-2] + "_a" for c in long.columns if c != "word"})
+    far = side.join(long, "word").where(open_).where(_enough("_a", "_b", threshold))
+    rest = _pairs(near.where(open_).select(*pair).unionByName(far.select(*pair)), threshold).join(stars, ["a", "b"], "left_anti")
+    rest = scratch.write(rest, "rest")
+    scratch.drop(stars, met)
+    gone = scratch.write(settled.unionByName(_later(scratch, rest, lines, ranks, firsts, threshold)).distinct(), "gone")
+    scratch.drop(rest)
+    stay = firsts.join(gone, "id", "left_anti")
     return known.select(*LINE).join(stay.select(*LINE), list(LINE), "left_anti")
 
 
@@ -151,17 +202,19 @@ def _in_bitmap(bits: Column, h: Column) -> Column:
 
 
 def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """cls of the later class of each pair (a, b) whose full sets are similar enough."""
+    """id of the later class of each pair (a, b) whose full sets are similar enough, as a table."""
     t, whole = threshold
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    where = scratch.write(firsts.join(need, "cls", "left_semi"), "where")
-    found = lines.where(_in_bitmap(_bitmap(where), F.xxhash64(*LINE))).join(where, list(LINE)).dropDuplicates(["cls"])  # rows that are the same have the line each
-    sets = scratch.write(found.select("cls", *LINE, _keys(F.col("line"), ranks).alias("keys")), "sets")
-    side = lambda c: sets.select(F.col("cls").alias(c), F.struct(*LINE).alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
+    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    where = scratch.write(firsts.join(need, "id", "left_semi"), "where")
+    found = lines.where(_in_bitmap(_bitmap(where), F.xxhash64(*LINE))).join(where, list(LINE)).dropDuplicates(["id"])  # rows that are the same have the line each
+    sets = scratch.write(found.select("id", *LINE, _keys(F.col("line"), ranks).alias("keys")), "sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.struct(*LINE).alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     alike = both.where(shared * (whole + t) >= (F.size("keys_a") + F.size("keys_b")) * t)
-    return alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
+    later = scratch.write(alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later")
+    scratch.drop(where, sets)
+    return later
 
 
 def _gone(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -330,6 +331,41 @@ def test_line_dedup(spark):
         assert out[i] == (t if t is None or not want[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]))
 
 
+def test_line_dedup_leaves_no_shuffles(spark):
+    rows = [(i, "\n".join(f"a{i} b{j} c{i % 7} d{j % 3} e f g h" for j in range(5))) for i in range(60)]
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for f in held.getAllFiles().mkString("\n").split("\n") if (n := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    before = files()
+    gone = lines.repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), lines.NEAR)
+    for _ in range(50):  # they are deleted in the background
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    want = {(d, i) for d, found in lines_brute(rows, 75).items() for i in found}
+    assert {(r["doc"], r["line_no"]) for r in gone.collect()} == want
+
+
+@pytest.mark.parametrize("short", [1, 2, 5])
+def test_line_dedup_with_long_lists(spark, monkeypatch, short):
+    monkeypatch.setattr(lines, "SHORT", short)
+    rng = random.Random(short)
+    v = vocabulary(rng, 40)
+    pool = [[rng.choice(v) for _ in range(rng.choice([4, 9, 14]))] for _ in range(8)]
+    rows = []
+    for i in range(30):
+        out = []
+        for _ in range(4):
+            x = list(rng.choice(pool))
+            x[rng.randrange(len(x))] = rng.choice(v)
+            out.append(" ".join(x))
+        rows.append((i, "\n".join(out)))
+    want = lines_brute(rows, 75)
+    got = lines.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), lines.NEAR)
+    assert {r["doc_id"]: list(r["removed_lines"]) for r in got.collect()} == {i: list(want[i]) for i, _ in rows}
+
+
 def test_line_dedup_odd_rows(spark, docs, rows, empty):
     """Null ids, repeated ids and repeated rows: a row is known by its id and its text, in the order of id and a hash."""
     odd = [(1, "a b c d"), (None, "x y z w"), (None, "a b c d"), (2, "a b c d\nq r s t"), (2, "q r s t\nk l m n"), (3, "k l m n\nown 1 2 3"), (3, "k l m n\nown 1 2 3"), (None, None), (None, ""), (4, None)]
