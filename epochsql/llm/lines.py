@@ -25,6 +25,7 @@ line number). ``line_dedup`` takes THRESHOLD where none is given, the query take
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,8 +35,10 @@ from .common import WORD, Scratch, fresh, table
 
 THRESHOLD = (90, 100)
 NEAR = (75, 100)
-RARITY = 1 << 20
+RARITY = 1 << 19
 SHORT = 48  # entries of a list that are all compared with each other at once
+PASSES = 4  # the index is made for a part of the words at a time, so that its shuffles lie on disk one after the other
+ENTRY = ("id", "doc", "n", "at", "bits")
 BITMAP = 1 << 16  # longs
 _BREAKS = r"[\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
@@ -147,43 +150,59 @@ def _repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     ranks = rarity(docs)
     size = F.size("keys")
     # a filter on the words would be pushed below and would make them twice
-    keyed = lines.where(F.col("line").rlike(WORD)).select(*LINE, _keys(F.col("line"), ranks).alias("keys"))
+    keyed = _worded(lines).select(*LINE, _keys(F.col("line"), ranks).alias("keys"))
     # words of the index are told apart by 31 bits: those that share them only make lists longer
     prefix = F.transform(F.slice("keys", F.lit(1), _prefix(size, threshold)), lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     known = scratch.write(keyed.select(*LINE, F.xxhash64("keys").alias("cls"), F.xxhash64(F.lit(3), "keys").alias("other"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits")), "lines")
     first = F.min(F.struct(*LINE, "n", "bits", "prefix")).alias("first")
     classes = scratch.write(known.groupBy("cls", "other").agg(first).select("first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
+    scratch.drop(known)
     firsts = classes.select("id", *LINE)
     able = classes.where(F.col("n") * whole >= (F.col("n") + 1) * t)  # a smaller set is similar enough to itself alone
     listed = able.select("id", "doc", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    one = F.struct("id", "doc", "n", "at", "bits")
-    order = Window.partitionBy("word").orderBy("doc", "id")
-    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    listed = listed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("size > 1")
-    earlier = F.collect_list(F.when(F.col("size") <= SHORT, one)).over(order.rowsBetween(1 - SHORT, -1))
-    head = F.when(F.col("size") > SHORT, F.first(one).over(up_to))
-    # a list's entry meets the entries before it, or the first one alone; entries of long lists are kept besides
-    met = listed.withColumn("met", F.when(F.col("size") > SHORT, F.array(head, F.lit(None))).otherwise(earlier))
-    met = met.select("word", "size", *[F.col(c).alias(f"{c}_b") for c in ("id", "doc", "n", "at", "bits")], F.explode("met").alias("x"))
-    met = met.select("word", "size", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("id", "doc", "n", "at", "bits")], *[f"{c}_b" for c in ("id", "doc", "n", "at", "bits")])
-    met = scratch.write(met.where(F.col("id_a").isNull() | ((F.col("id_a") != F.col("id_b")) & _enough("_a", "_b", threshold))), "met")
+    parts = [scratch.write(_met(listed.where(F.pmod("word", F.lit(PASSES)) == k), threshold), "met") for k in range(PASSES)]
+    met = reduce(DataFrame.unionByName, parts)
     pair = [F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b"]
-    stars = scratch.write(_pairs(met.where(F.col("id_a").isNotNull() & (F.col("size") > SHORT)).select(*pair), threshold), "stars")
+    stars = scratch.write(_pairs(met.where("star").select(*pair), threshold), "stars")
     settled = _later(scratch, stars, lines, ranks, firsts, threshold)
     gone_ = lambda c: settled.select(F.col("id").alias(f"id{c}"), F.lit(True).alias(f"gone{c}"))
-    open_ = "(doc_a < doc_b and gone_b is null) or (doc_a = doc_b and id_a < id_b and (gone_a is null or gone_b is null))"
-    near = met.where(F.col("id_a").isNotNull() & (F.col("size") <= SHORT)).join(gone_("_a"), "id_a", "left").join(gone_("_b"), "id_b", "left")
-    long = met.where(F.col("id_a").isNull()).select("word", *[f"{c}_b" for c in ("id", "doc", "n", "at", "bits")]).join(gone_("_b"), "id_b", "left")
-    side = long.withColumnsRenamed({c: c[:-2] + "_a" for c in long.columns if c != "word"})
-    far = side.join(long, "word").where(open_).where(_enough("_a", "_b", threshold))
-    rest = _pairs(near.where(open_).select(*pair).unionByName(far.select(*pair)), threshold).join(stars, ["a", "b"], "left_anti")
-    rest = scratch.write(rest, "rest")
-    scratch.drop(stars, met)
+    near = met.where("not star").join(gone_("_a"), "id_a", "left").join(gone_("_b"), "id_b", "left")
+    near = near.where("gone_b is null or (same and gone_a is null)")
+    long = met.where("star is null").select("word", *ENTRY).join(settled.withColumn("gone", F.lit(True)), "id", "left")
+    far = long.alias("a").join(long.alias("b"), F.col("a.word") == F.col("b.word"))
+    far = far.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in ("a", "b") for c in (*ENTRY, "gone")])
+    far = far.where("(doc_a < doc_b and gone_b is null) or (doc_a = doc_b and id_a < id_b and (gone_a is null or gone_b is null))")
+    far = far.where(_enough("_a", "_b", threshold))
+    rest = scratch.write(_pairs(near.select(*pair).unionByName(far.select(*pair)), threshold).join(stars, ["a", "b"], "left_anti"), "rest")
+    scratch.drop(stars, *parts)
     gone = scratch.write(settled.unionByName(_later(scratch, rest, lines, ranks, firsts, threshold)).distinct(), "gone")
     scratch.drop(rest)
     stay = firsts.join(gone, "id", "left_anti")
-    return known.select(*LINE).join(stay.select(*LINE), list(LINE), "left_anti")
+    return _worded(lines).select(*LINE).join(stay.select(*LINE), list(LINE), "left_anti")
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("line").rlike(WORD))
+
+
+def _met(listed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """What meets in the lists of some words: id_a, id_b, n_a, n_b, whether both are of the same document, and whether the pair
+    is a star's. In a list of SHORT entries at most each meets those before it (not star), in a longer one all meet the first
+    (star). Entries of longer lists come besides, with their word (star is null)."""
+    one = F.struct(*ENTRY)
+    order = Window.partitionBy("word").orderBy("doc", "id")
+    listed = listed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("size > 1")
+    earlier = F.collect_list(F.when(F.col("size") <= SHORT, one)).over(order.rowsBetween(1 - SHORT, -1))
+    head = F.first(one).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = listed.withColumn("met", F.when(F.col("size") > SHORT, F.array(head, F.lit(None))).otherwise(earlier))
+    met = met.select("word", "size", one.alias("y"), F.explode("met").alias("x"))
+    both = [F.col(f"{x}.{c}").alias(f"{c}_{z}") for x, z in (("x", "a"), ("y", "b")) for c in ENTRY]
+    met = met.select("word", "size", *both).where(F.col("id_a").isNull() | ((F.col("id_a") != F.col("id_b")) & _enough("_a", "_b", threshold)))
+    pair = F.col("id_a").isNotNull()
+    own = [F.when(~pair, F.col("word")).alias("word"), *[F.when(~pair, F.col("id_b" if c == "id" else f"{c}_b")).alias(c) for c in ENTRY]]
+    ends = [F.when(pair, F.col(c)).alias(c) for c in ("id_a", "id_b", "n_a", "n_b")]
+    return met.select(*ends, F.when(pair, F.col("doc_a") == F.col("doc_b")).alias("same"), F.when(pair, F.col("size") > SHORT).alias("star"), *own)
 
 
 def _bitmap(where: DataFrame) -> Column:
