@@ -37,7 +37,7 @@ THRESHOLD = (90, 100)
 NEAR = (75, 100)
 RARITY = 1 << 19
 SHORT = 48  # entries of a list that are all compared with each other at once
-PASSES = 4  # the index is made for a part of the words at a time, so that its shuffles lie on disk one after the other
+PASSES = 4  # words are listed, pairs found and compared a part at a time, so that the shuffles lie on disk one after the other
 ENTRY = ("id", "doc", "n", "at", "bits")
 BITMAP = 1 << 16  # longs
 _BREAKS = r"[\x20\x09-\x0D]+"
@@ -170,18 +170,26 @@ def _repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     near = met.where("not star").join(gone_("_a"), "id_a", "left").join(gone_("_b"), "id_b", "left")
     near = near.where("gone_b is null or (same and gone_a is null)")
     long = met.where("star is null").select("word", *ENTRY).join(settled.withColumn("gone", F.lit(True)), "id", "left")
-    far = long.alias("a").join(long.alias("b"), F.col("a.word") == F.col("b.word"))
-    far = far.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in ("a", "b") for c in (*ENTRY, "gone")])
-    far = far.where("(doc_a < doc_b and gone_b is null) or (doc_a = doc_b and id_a < id_b and (gone_a is null or gone_b is null))")
-    far = far.where(_enough("_a", "_b", threshold))
-    rest = scratch.write(_pairs(near.select(*pair).unionByName(far.select(*pair)), threshold).join(stars, ["a", "b"], "left_anti"), "rest")
+    found = []
+    for k in range(PASSES):  # a pair is found whole in the pass of its first class
+        far = long.where(_pass("id") == k).alias("a").join(long.alias("b"), F.col("a.word") == F.col("b.word"))
+        far = far.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in ("a", "b") for c in (*ENTRY, "gone")])
+        far = far.where("(doc_a < doc_b and gone_b is null) or (doc_a = doc_b and id_a < id_b and (gone_a is null or gone_b is null))")
+        far = far.where(_enough("_a", "_b", threshold))
+        both = near.where(_pass("id_a") == k).select(*pair).unionByName(far.select(*pair))
+        found.append(scratch.write(_pairs(both, threshold).join(stars, ["a", "b"], "left_anti"), "rest"))
+    rest = reduce(DataFrame.unionByName, found)
     scratch.drop(stars, *parts)
     gone = scratch.write(settled.unionByName(_later(scratch, rest, lines, ranks, firsts, threshold)).distinct(), "gone")
-    scratch.drop(rest)
+    scratch.drop(*found)
     stay = firsts.join(gone, "id", "left_anti")
     return _worded(lines).select(*LINE).join(stay.select(*LINE), list(LINE), "left_anti")
 
 
+def _pass(id_: str) -> Column:
+    return F.pmod(F.col(id_), F.lit(PASSES))
+
+
 def _worded(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD))
 
@@ -228,12 +236,14 @@ def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column,
     found = lines.where(_in_bitmap(_bitmap(where), F.xxhash64(*LINE))).join(where, list(LINE)).dropDuplicates(["id"])  # rows that are the same have the line each
     sets = scratch.write(found.select("id", *LINE, _keys(F.col("line"), ranks).alias("keys")), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.struct(*LINE).alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    alike = both.where(shared * (whole + t) >= (F.size("keys_a") + F.size("keys_b")) * t)
-    later = scratch.write(alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later")
+    later = []
+    for k in range(PASSES):
+        both = pairs.where(_pass("a") == k).join(side("a").where(_pass("a") == k), "a").join(side("b"), "b")
+        alike = both.where(shared * (whole + t) >= (F.size("keys_a") + F.size("keys_b")) * t)
+        later.append(scratch.write(alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later"))
     scratch.drop(where, sets)
-    return later
+    return reduce(DataFrame.unionByName, later).distinct()
 
 
 def _gone(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
