@@ -14,9 +14,10 @@ line number). ``line_dedup`` takes THRESHOLD where none is given, the query take
    sets must suffice), a bitmap filter (words are hashed into 64 bits, each of which tells whether an odd number of the set's
    words fell on it; each bit in which two sets differ is a word that they don't share) and a count filter: words that two similar sets share lie in both prefixes, or behind one of them,
    so the number of prefix words they share has a least value too.
-4. In each word's list one class (of the earliest document) is compared with the rest first, as a star, and lines that
-   are removed by that are settled. Only classes that no star settles are compared with all of their lists. So a line of
-   a group of near copies costs a pair for each of its prefix words, not one for each other line of the group.
+4. In a list of SHORT entries at most, all are compared with each other. In a longer one, one class (of the earliest document)
+   is compared with the rest first, as a star, and lines that are removed by that are settled; then only classes that no
+   star settles are compared with all of their long lists. So a line of a group of near copies costs a pair for each of
+   its prefix words, not one for each other line of the group.
 5. Candidates are verified on the full sets, which are made for them alone. Their lines are fetched by a join; a bitmap
    of fixed size, made of the wanted lines, keeps most others from being moved. Where there are too many for it, it only
    lets more pass.
