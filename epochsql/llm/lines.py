@@ -25,11 +25,12 @@ line number). ``line_dedup`` takes THRESHOLD where none is given, the query take
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, fresh, table
@@ -37,9 +38,8 @@ from .common import WORD, Scratch, fresh, table
 THRESHOLD = (90, 100)
 NEAR = (75, 100)
 RARITY = 1 << 19
-SHORT = 48  # entries of a list that are all compared with each other at once
+SHORT = 256  # a word that occurs more often is a common one: its list is compared with its first entries before
 PASSES = 4  # words are listed, pairs found and compared a part at a time, so that the shuffles lie on disk one after the other
-ENTRY = ("id", "doc", "n", "at", "bits")
 BITMAP = 1 << 16  # longs
 _BREAKS = r"[\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
@@ -97,26 +97,18 @@ def _keys(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(_hashes(line), key))
 
 
-def _enough(x: str, y: str, threshold: tuple[int, int]) -> Column:
-    """Length, positional and bitmap filter of two sets that share a word at places at<x> and at<y> (from 0)."""
-    t, whole = threshold
-    a, b, at_a, at_b, bits_a, bits_b = (F.col(f"{c}{side}") for c in ("n", "at", "bits") for side in (x, y))
-    apart = F.bit_count(bits_a.bitwiseXOR(bits_b))  # words that only one has, at least
-    most = F.least(at_a, at_b) + F.least(a - at_a, b - at_b)
-    return (F.least(a, b) * whole >= F.greatest(a, b) * t) & ((a + b - apart) * (whole + t) >= 2 * (a + b) * t) & (most * (whole + t) >= (a + b) * t)
-
-
 def _prefix(n: Column, threshold: tuple[int, int]) -> Column:
     return (n - F.ceil(n * threshold[0] / threshold[1]) + 1).cast("int")
 
 
-def _pairs(matches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) that share enough prefix words, from a row for each shared one (a, n_a, b, n_b)."""
+def _alike(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """Whether two sets can be similar enough if the entries <x> and <y> are of the first word that they share: positional filter
+    (which holds the lengths too) and bitmap filter."""
     t, whole = threshold
-    a, b = F.col("n_a"), F.col("n_b")
-    behind = F.greatest(a - _prefix(a, threshold), b - _prefix(b, threshold))
-    counted = matches.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    return counted.where((F.col("c") + behind) * (whole + t) >= (a + b) * t).select("a", "b")
+    n, rest, *bits = ((F.col(f"{x}{c}"), F.col(f"{y}{c}")) for c in ("n", "rest", "odd", "even"))
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))  # words that only one has, at least
+    both = n[0] + n[1]
+    return (F.least(*rest) * (whole + t) >= both * t) & ((both - apart) * (whole + t) >= both * (2 * t))
 
 
 def _cleaning(spark: SparkSession):
@@ -148,41 +140,38 @@ def _repeated_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int,
     t, whole = threshold
     scratch = Scratch(spark, "lines")
     lines = split_lines(docs)
-    ranks = rarity(docs)
     size = F.size("keys")
     # a filter on the words would be pushed below and would make them twice
-    keyed = _worded(lines).select(*LINE, _keys(F.col("line"), ranks).alias("keys"))
-    # words of the index are told apart by 31 bits: those that share them only make lists longer
-    prefix = F.transform(F.slice("keys", F.lit(1), _prefix(size, threshold)), lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    known = scratch.write(keyed.select(*LINE, F.xxhash64("keys").alias("cls"), F.xxhash64(F.lit(3), "keys").alias("other"), size.alias("n"), prefix.alias("prefix"), bits.alias("bits")), "lines")
-    first = F.min(F.struct(*LINE, "n", "bits", "prefix")).alias("first")
+    keyed = _worded(lines).select(*LINE, _keys(F.col("line"), rarity(docs)).alias("keys"))
+    # words of the index are told apart by 31 bits: those that share them only make lists longer; common ones are negative
+    common = (math.floor(2 * math.log2(SHORT)) + 1) << 57
+    word = lambda k: F.when(k >= common, F.bitwise_not(k.bitwiseAND((1 << 31) - 1))).otherwise(k.bitwiseAND((1 << 31) - 1)).cast("int")
+    prefix = F.transform(F.slice("keys", F.lit(1), _prefix(size, threshold)), word)
+    one = lambda bit, k: F.call_function("shiftleft", bit, k.bitwiseAND(63).cast("int"))
+    every = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one(F.lit(1).cast("long"), k)))
+    odd = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one(F.shiftrightunsigned(k, 6).bitwiseAND(1), k)))
+    known = keyed.select(*LINE, F.xxhash64("keys").alias("cls"), F.xxhash64(F.lit(3), "keys").alias("other"), size.alias("n"), prefix.alias("prefix"), odd.alias("odd"), every.alias("every"))
+    known = scratch.write(known, "lines")
+    first = F.min(F.struct(*LINE, "n", "odd", F.col("every").bitwiseXOR(F.col("odd")).alias("even"), "prefix")).alias("first")
     classes = scratch.write(known.groupBy("cls", "other").agg(first).select("first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     scratch.drop(known)
     firsts = classes.select("id", *LINE)
     able = classes.where(F.col("n") * whole >= (F.col("n") + 1) * t)  # a smaller set is similar enough to itself alone
-    listed = able.select("id", "doc", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    parts = [scratch.write(_met(listed.where(F.pmod("word", F.lit(PASSES)) == k), threshold), "met") for k in range(PASSES)]
-    met = reduce(DataFrame.unionByName, parts)
-    pair = [F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b"]
-    stars = scratch.write(_pairs(met.where("star").select(*pair), threshold), "stars")
-    settled = _later(scratch, stars, lines, ranks, firsts, threshold)
-    gone_ = lambda c: settled.select(F.col("id").alias(f"id{c}"), F.lit(True).alias(f"gone{c}"))
-    near = met.where("not star").join(gone_("_a"), "id_a", "left").join(gone_("_b"), "id_b", "left")
-    near = near.where("gone_b is null or (same and gone_a is null)")
-    long = met.where("star is null").select("word", *ENTRY).join(settled.withColumn("gone", F.lit(True)), "id", "left")
-    found = []
-    for k in range(PASSES):  # a pair is found whole in the pass of its first class
-        far = long.where(_pass("id") == k).alias("a").join(long.alias("b"), F.col("a.word") == F.col("b.word"))
-        far = far.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in ("a", "b") for c in (*ENTRY, "gone")])
-        far = far.where("(doc_a < doc_b and gone_b is null) or (doc_a = doc_b and id_a < id_b and (gone_a is null or gone_b is null))")
-        far = far.where(_enough("_a", "_b", threshold))
-        both = near.where(_pass("id_a") == k).select(*pair).unionByName(far.select(*pair))
-        found.append(scratch.write(_pairs(both, threshold).join(stars, ["a", "b"], "left_anti"), "rest"))
-    rest = reduce(DataFrame.unionByName, found)
-    scratch.drop(stars, *parts)
-    gone = scratch.write(settled.unionByName(_later(scratch, rest, lines, ranks, firsts, threshold)).distinct(), "gone")
-    scratch.drop(*found)
+    stars = scratch.write(_stars(able, threshold), "stars")
+    settled = _later(scratch, stars, lines, firsts, threshold) if _heavy(stars, classes) else None
+    if settled is not None:
+        # from here on the ids of what is settled are negative
+        own = F.when(F.col("gone"), F.bitwise_not("id")).otherwise(F.col("id"))
+        able = able.join(settled.withColumn("gone", F.lit(True)), "id", "left").withColumn("id", own)
+        able = scratch.write(able.select("id", "n", "odd", "even", "prefix"), "able")
+    found = [scratch.write(_met(able, k, threshold), "met") for k in range(PASSES)]
+    if settled is not None:
+        scratch.drop(able)
+    pairs = scratch.write(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    scratch.drop(stars, *found)
+    later = _later(scratch, pairs, lines, firsts, threshold)
+    gone = scratch.write(later if settled is None else later.unionByName(settled).distinct(), "gone")
+    scratch.drop(pairs)
     stay = firsts.join(gone, "id", "left_anti")
     return _worded(lines).select(*LINE).join(stay.select(*LINE), list(LINE), "left_anti")
 
@@ -195,33 +184,53 @@ def _worded(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD))
 
 
-def _met(listed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """What meets in the lists of some words: id_a, id_b, n_a, n_b, whether both are of the same document, and whether the pair
-    is a star's. In a list of SHORT entries at most each meets those before it (not star), in a longer one all meet the first
-    (star). Entries of longer lists come besides, with their word (star is null)."""
-    one = F.struct(*ENTRY)
-    order = Window.partitionBy("word").orderBy("doc", "id")
-    listed = listed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("size > 1")
-    earlier = F.collect_list(F.when(F.col("size") <= SHORT, one)).over(order.rowsBetween(1 - SHORT, -1))
-    head = F.first(one).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = listed.withColumn("met", F.when(F.col("size") > SHORT, F.array(head, F.lit(None))).otherwise(earlier))
-    met = met.select("word", "size", one.alias("y"), F.explode("met").alias("x"))
-    both = [F.col(f"{x}.{c}").alias(f"{c}_{z}") for x, z in (("x", "a"), ("y", "b")) for c in ENTRY]
-    met = met.select("word", "size", *both).where(F.col("id_a").isNull() | ((F.col("id_a") != F.col("id_b")) & _enough("_a", "_b", threshold)))
-    pair = F.col("id_a").isNotNull()
-    own = [F.when(~pair, F.col("word")).alias("word"), *[F.when(~pair, F.col("id_b" if c == "id" else f"{c}_b")).alias(c) for c in ENTRY]]
-    ends = [F.when(pair, F.col(c)).alias(c) for c in ("id_a", "id_b", "n_a", "n_b")]
-    return met.select(*ends, F.when(pair, F.col("doc_a") == F.col("doc_b")).alias("same"), F.when(pair, F.col("size") > SHORT).alias("star"), *own)
+def _entries(classes: DataFrame, *more: str) -> DataFrame:
+    """A row for each word of the prefixes: what ``_alike`` asks for; rest: how many of the set's words there are from this one on."""
+    n = F.col("n").cast("long")
+    listed = classes.select("id", *more, n.alias("n"), "odd", "even", F.posexplode("prefix").alias("at", "word"))
+    return listed.withColumn("rest", F.col("n") - F.col("at")).drop("at")
+
+
+def _stars(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of the earliest class and another one in the list of a common word, for each band of lengths."""
+    t, whole = threshold
+    band = F.floor(F.log("n") / math.log(whole / t)).alias("band")
+    entry = ("doc", "id", "n", "rest", "odd", "even")
+    listed = _entries(classes.where(F.array_min("prefix") < 0), "doc").where("word < 0").select("word", band, *entry)
+    heads = listed.groupBy("word", "band").agg(F.min(F.struct(*entry)).alias("x"))
+    both = listed.withColumnsRenamed({c: f"y_{c}" for c in entry}).join(heads.select("word", "band", *[F.col(f"x.{c}").alias(f"x_{c}") for c in entry]), ["word", "band"])
+    return both.where((F.col("x_id") != F.col("y_id")) & _alike("x_", "y_", threshold)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
+def _heavy(stars: DataFrame, classes: DataFrame) -> bool:
+    """Whether the pairs of large groups would be many beside the classes."""
+    each = stars.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    pairs = each.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+    return bool(pairs) and pairs > classes.count()
+
+
+def _met(classes: DataFrame, part: int, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of classes that meet in the lists of some words and may be similar enough; those with negative ids don't meet
+    each other. The first word that two sets share lies, of the smaller set (y, or the one of the lower id), in the prefix that
+    is enough among sets of its own size."""
+    t, whole = threshold
+    listed = _entries(classes).where(F.pmod("word", F.lit(PASSES)) == part)
+    side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("id", "n", "rest", "odd", "even")]
+    short = listed.where(F.col("rest") * (whole + t) >= F.col("n") * (2 * t)).select("word", *side("y"))
+    both = listed.select("word", *side("x")).join(short.hint("shuffle_hash"), "word")
+    both = both.where("x_n > y_n or (x_n = y_n and x_id < y_id)").where("x_id >= 0 or y_id >= 0").where(_alike("x_", "y_", threshold))
+    real = lambda c: F.when(F.col(c) < 0, F.bitwise_not(c)).otherwise(F.col(c))
+    return both.select(real("x_id").alias("a"), real("y_id").alias("b")).distinct()
 
 
 def _bitmap(where: DataFrame) -> Column:
-    """The set of lines as an array literal of BITMAP longs, a bit for each hash value."""
+    """The set of lines as an array of BITMAP longs, a bit for each hash value. It is made by a subquery: as a literal it would
+    stand in every description of a plan that the driver holds."""
     h = F.xxhash64(*LINE)
-    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int").alias("at"), F.expr("shiftleft(1L, cast(xxhash64(doc, key, line_no) & 63 as int))").alias("bit"))
-    longs = [0] * BITMAP
-    for at, word in bits.groupBy("at").agg(F.bit_or("bit")).collect():  # BITMAP rows at most
-        longs[at] = word
-    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).alias("id"), F.expr("shiftleft(1L, cast(xxhash64(doc, key, line_no) & 63 as int))").alias("bit"))
+    every = where.sparkSession.range(BITMAP).join(bits.groupBy("id").agg(F.bit_or("bit").alias("bit")), "id", "left")
+    longs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit"))))  # BITMAP rows
+    return every.agg(F.transform(longs, lambda x: x["bit"])).scalar()
 
 
 def _in_bitmap(bits: Column, h: Column) -> Column:
@@ -229,19 +238,19 @@ def _in_bitmap(bits: Column, h: Column) -> Column:
     return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
 
 
-def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, ranks: Column, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _later(scratch: Scratch, pairs: DataFrame, lines: DataFrame, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """id of the later class of each pair (a, b) whose full sets are similar enough, as a table."""
     t, whole = threshold
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     where = scratch.write(firsts.join(need, "id", "left_semi"), "where")
-    found = lines.where(_in_bitmap(_bitmap(where), F.xxhash64(*LINE))).join(where, list(LINE)).dropDuplicates(["id"])  # rows that are the same have the line each
-    sets = scratch.write(found.select("id", *LINE, _keys(F.col("line"), ranks).alias("keys")), "sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.struct(*LINE).alias(f"first_{c}"), F.col("keys").alias(f"keys_{c}"))
-    shared = F.size(F.array_intersect("keys_a", "keys_b"))
+    found = lines.where(_in_bitmap(_bitmap(where), F.xxhash64(*LINE))).join(where, list(LINE)).dropDuplicates(list(LINE))  # rows that are the same have the line each
+    sets = scratch.write(found.select("id", *LINE, _hashes(F.col("line")).alias("words")), "sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.struct(*LINE).alias(f"first_{c}"), F.col("words").alias(f"words_{c}"))
+    shared = F.size(F.array_intersect("words_a", "words_b"))
     later = []
     for k in range(PASSES):
         both = pairs.where(_pass("a") == k).join(side("a").where(_pass("a") == k), "a").join(side("b"), "b")
-        alike = both.where(shared * (whole + t) >= (F.size("keys_a") + F.size("keys_b")) * t)
+        alike = both.where(shared * (whole + t) >= (F.size("words_a") + F.size("words_b")) * t)
         later.append(scratch.write(alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later"))
     scratch.drop(where, sets)
     return reduce(DataFrame.unionByName, later).distinct()
