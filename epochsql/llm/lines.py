@@ -9,15 +9,15 @@ line number). ``line_dedup`` takes THRESHOLD where none is given, the query take
 2. Lines with equal word sets (by 128 bits of hashes) form a class, which its earliest line stands for; the others go at
    once. A line is known by its document's id, a hash of id and text, and its number, so documents without an id, or with
    one id, are told apart by their texts (the hash orders them); rows that are the same in id and text are one.
-3. Sets of size n that are similar enough share one of the first n - ceil(t n) + 1 words of each other. These prefixes
-   make an index by word. Pairs must pass a length filter, a positional filter (the words after the shared one in both
-   sets must suffice), a bitmap filter (words are hashed into 64 bits, each of which tells whether an odd number of the set's
-   words fell on it; each bit in which two sets differ is a word that they don't share) and a count filter: words that two similar sets share lie in both prefixes, or behind one of them,
-   so the number of prefix words they share has a least value too.
-4. In a list of SHORT entries at most, all are compared with each other. In a longer one, one class (of the earliest document)
-   is compared with the rest first, as a star, and lines that are removed by that are settled; then only classes that no
-   star settles are compared with all of their long lists. So a line of a group of near copies costs a pair for each of
-   its prefix words, not one for each other line of the group.
+3. Sets of size n that are similar enough share one of the first n - ceil(t n) + 1 words of each other, and the smaller one has
+   it among the first n - ceil(2 t n / (1 + t)) + 1. These prefixes are joined by word. Pairs must pass a positional filter (the
+   words from the shared one on must suffice in both sets, as they do for the first shared word) and a bitmap filter (words are
+   hashed into 128 bits, each of which tells whether an odd number of the set's words fell on it; each bit in which two sets differ
+   is a word that they don't share).
+4. Of words that occur more than SHORT times, the earliest class of each band of lengths is compared with the rest of the word's
+   list before, as a star. If these pairs show large groups, they are verified first; lines that are removed by that are settled,
+   and what is settled meets only what isn't. So a line of a large group of near copies costs a pair for each of its prefix
+   words, not one for each other line of the group.
 5. Candidates are verified on the full sets, which are made for them alone. Their lines are fetched by a join; a bitmap
    of fixed size, made of the wanted lines, keeps most others from being moved. Where there are too many for it, it only
    lets more pass.
@@ -227,9 +227,9 @@ def _bitmap(where: DataFrame) -> Column:
     """The set of lines as an array of BITMAP longs, a bit for each hash value. It is made by a subquery: as a literal it would
     stand in every description of a plan that the driver holds."""
     h = F.xxhash64(*LINE)
-    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).alias("id"), F.expr("shiftleft(1L, cast(xxhash64(doc, key, line_no) & 63 as int))").alias("bit"))
-    every = where.sparkSession.range(BITMAP).join(bits.groupBy("id").agg(F.bit_or("bit").alias("bit")), "id", "left")
-    longs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit"))))  # BITMAP rows
+    bits = where.select(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).alias("at"), F.expr("shiftleft(1L, cast(xxhash64(doc, key, line_no) & 63 as int))").alias("bit"))
+    every = where.sparkSession.range(BITMAP).select(F.col("id").alias("at")).join(bits.groupBy("at").agg(F.bit_or("bit").alias("bit")), "at", "left")
+    longs = F.sort_array(F.collect_list(F.struct("at", F.coalesce("bit", F.lit(0).cast("long")).alias("bit"))))  # BITMAP rows
     return every.agg(F.transform(longs, lambda x: x["bit"])).scalar()
 
 

@@ -347,6 +347,31 @@ def test_line_dedup_leaves_no_shuffles(spark):
     assert {(r["doc"], r["line_no"]) for r in gone.collect()} == want
 
 
+def test_line_dedup_holds_small_plans(spark):
+    """Bitmaps and tables in a plan stand in each description of it, all of which the driver holds: one plan may have the table
+    of ranks. Lines are long enough for bitmaps to be crowded."""
+    rng = random.Random(8)
+    v = vocabulary(rng, 2000)
+    pool = [rng.sample(v, n) for n in (20, 60, 70, 120, 200, 400) for _ in range(2)]
+    rows = []
+    for i in range(60):
+        x = list(rng.choice(pool))
+        for k in rng.sample(range(len(x)), rng.randint(0, len(x) // 5)):
+            x[k] = rng.choice(v)
+        rows.append((i, " ".join(x[: rng.randint(len(x) * 4 // 5, len(x))])))
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {(x := store.executionsList().apply(k)).executionId() for k in range(store.executionsList().size())}
+    got = lines.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), lines.NEAR)
+    want = lines_brute(rows, 75)
+    assert {r["doc_id"]: list(r["removed_lines"]) for r in got.collect()} == {i: list(want[i]) for i, _ in rows}
+    assert 10 < sum(map(len, want.values())) < 55
+    bus.waitUntilEmpty()
+    ran = store.executionsList()
+    sizes = [len(x.physicalPlanDescription()) for k in range(ran.size()) if (x := ran.apply(k)).executionId() not in before]
+    assert len(sizes) > 5 and sum(n > 200_000 for n in sizes) <= 1
+
+
 @pytest.mark.parametrize("short", [1, 2, 5])
 def test_line_dedup_with_long_lists(spark, monkeypatch, short):
     monkeypatch.setattr(lines, "SHORT", short)
